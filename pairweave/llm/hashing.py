@@ -42,6 +42,9 @@ class _Powers:
         self.up = np.ones(1, U64)
         self.down = np.ones(1, U64)
 
+    def __reduce__(self) -> tuple:
+        return _Powers, ()
+
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up), 1 << 15)

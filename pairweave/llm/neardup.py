@@ -10,10 +10,11 @@ keys.
 
 Work per bucket stays linear. Documents with equal sets are one class, represented by
 the smallest id. In every bucket all members are checked against the smallest and the
-largest member only; what that connects is contracted. Buckets which still hold several
-components have the pairs between different components checked, so no link between
-components of a bucket is left out, and copies are never expanded into pairs. Every link
-is confirmed on the full sets with exact integers.
+largest member only; what that connects is contracted. The members of
+buckets which still hold several components are compared across components by what sets
+them apart from the head of the bucket's largest component, which leaves out no link between them and,
+unlike the bucket, does not pair what merely resembles. Copies are never expanded into pairs. Every link is confirmed
+on the full sets with exact integers.
 
 At similarity 0.8 the chance that a pair shares none of 40 bands of 6 rows is 5e-6.
 """
@@ -108,6 +109,45 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return map_rows(hit, make, "items array<long>", keep=1)
 
 
+def _apart_pairs(docs: DataFrame, open_: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Every pair (a, b) of different parts that shares a pivot in open_ (rep, pivot, part) and can be a link.
+
+    Each set x is seen as its pivot p without D = p - x and with A = x - p. For a link the
+    symmetric difference |Ax| + |Dx| + |Ay| + |Dy| - 2 c, where c counts the elements that
+    both A and both D share, is at most (100 - percent) / (100 + percent) * (|x| + |y|).
+    If that needs a larger c than the smaller D gives, the pair shares an element of A and
+    is found by it; else if it needs more than the smaller A gives, by an element of D; only
+    pairs that fulfil neither are found by the pivot itself. This leaves out no link.
+    """
+    ids = open_.select(F.explode(F.array("rep", "pivot")).alias("id")).distinct()
+    sets = scratch.table(_sets(docs, ids, k))
+    deltas = scratch.table(
+        open_.join(sets.select(F.col("doc_id").alias("rep"), F.col("items").alias("x")), "rep")
+        .join(sets.select(F.col("doc_id").alias("pivot"), F.col("items").alias("p")), "pivot")
+        .select("pivot", "rep", "part", F.size("x").alias("n"), F.array_except("x", "p").alias("plus"), F.array_except("p", "x").alias("minus"))
+        .withColumns({"na": F.size("plus"), "nd": F.size("minus")})
+    )
+    scratch.drop(sets)
+    fits = f"l.part < r.part and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
+    needs = f"{100 + percent}L * (l.na + l.nd + r.na + r.nd) - {100 - percent}L * (l.n + r.n)"
+    by_plus = f"{needs} > {2 * (100 + percent)}L * least(l.nd, r.nd)"
+    by_minus = f"{needs} > {2 * (100 + percent)}L * least(l.na, r.na)"
+
+    def met(rows: DataFrame, keys: list[str], when: str) -> DataFrame:
+        on = " and ".join(f"l.{c} = r.{c}" for c in keys)
+        found = rows.alias("l").join(rows.alias("r"), F.expr(f"{on} and {fits} and {when}"))
+        return found.select(F.expr("least(l.rep, r.rep)").alias("a"), F.expr("greatest(l.rep, r.rep)").alias("b"))
+
+    sizes = ["pivot", "rep", "part", "n", "na", "nd"]
+    plus, minus = (deltas.select(*sizes, F.explode(c).alias("e")) for c in ("plus", "minus"))
+    return (
+        met(plus, ["pivot", "e"], by_plus)
+        .union(met(minus, ["pivot", "e"], f"not ({by_plus}) and {by_minus}"))
+        .union(met(deltas.select(*sizes), ["pivot"], f"not ({by_plus}) and not ({by_minus})"))
+        .distinct()
+    )
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Of pairs (a, b), those with 100 * intersection >= percent * union on the full sets.
 
@@ -156,13 +196,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     parts = scratch.table(connected_components(links, "a", "b"))
 
     named = shared.select("bucket", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
-    mixed = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
-    open_ = scratch.table(named.join(mixed, "bucket"))
-    x, y = (open_.select("bucket", F.col("rep").alias(r), F.col("part").alias(p)) for r, p in (("a", "p"), ("b", "q")))
-    across = (
-        x.join(y, "bucket").where("p < q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        .join(near, ["a", "b"], "left_anti")
-    )
+    sizes = named.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.expr("max_by(part, struct(n, -part))").alias("pivot"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    open_ = scratch.table(named.join(mixed, "bucket").select("rep", "pivot", "part").distinct())
+    across = _apart_pairs(docs, open_, k, percent, scratch).join(near, ["a", "b"], "left_anti")
     more = _confirmed(docs, scratch.table(across), k, percent, scratch)
     if not more.isEmpty():
         parts = scratch.table(connected_components(links.union(more), "a", "b"))
