@@ -4,20 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairweave.llm.langid import language_id
 from pairweave.llm.neardup import near_duplicates
+from pairweave.llm.quality import quality_weights
+from pairweave.llm.toxicity import toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates on two-word shingles at similarity 0.8 or more."""
     return near_duplicates(documents(spark, sf_dir), k=2, percent=80)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the clause grammar."""
+    return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight and selection of every document."""
+    return quality_weights(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language_id(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
+    "op3_toxicity": op3_toxicity,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES = {
@@ -27,7 +52,7 @@ WITH RECURSIVE w AS (
   FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) = 1 THEN w
-    ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
   FROM w),
 flat AS (SELECT doc_id, unnest(s) AS x FROM sets),
 shared AS (
