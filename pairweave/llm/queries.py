@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairweave.llm.langid import language_id
+from pairweave.llm.mixing import mixed
 from pairweave.llm.neardup import near_duplicates
 from pairweave.llm.quality import quality_weights
 from pairweave.llm.toxicity import toxicity
@@ -23,6 +24,11 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=2, percent=80)
 
 
+def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, in training order."""
+    return mixed(documents(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by the clause grammar."""
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
@@ -40,6 +46,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
+    "op2_mixing_sources": op2_mixing_sources,
     "op3_toxicity": op3_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_language_id": op9_language_id,
@@ -69,4 +76,34 @@ reach(n, r) AS (
 part AS (SELECT n, min(r) AS r FROM reach GROUP BY n)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, r AS component_id, doc_id = r AS kept
 FROM sets JOIN part ON part.n = doc_id""",
+    "op2_mixing_sources": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][(rank - 1) % 3 + 1] AS BIGINT) AS weight FROM s),
+f AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS wsum,
+    coalesce(sum(source_size) OVER fill, 0) AS full_, coalesce(sum(weight) OVER fill, 0) AS wfull
+  FROM w WINDOW fill AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (
+  SELECT *, (CAST(150 AS DOUBLE) / 100 * CAST(total AS DOUBLE) - 2.0::DOUBLE * CAST(full_ AS DOUBLE)) / CAST(wsum - wfull AS DOUBLE) AS level FROM f),
+a AS (SELECT arg_min(level, (source_size / weight, rank)) AS level FROM l WHERE 2.0::DOUBLE * source_size > weight * level),
+t AS (
+  SELECT source, source_size, rank, max(rank) OVER () AS last,
+    CASE WHEN a.level IS NULL THEN 2.0::DOUBLE * source_size ELSE least(2.0::DOUBLE * source_size, weight * a.level) END AS target
+  FROM l, a),
+c AS (
+  SELECT d.doc_id, d.size, t.*, CASE WHEN last > 1 THEN 0.5::DOUBLE * (2 * (rank - 1) / CAST(last - 1 AS DOUBLE) - 1) ELSE 0 END AS s,
+    CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id NULLS FIRST, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+k AS (
+  SELECT *, CASE WHEN source_size > 0 THEN size * (CAST(round(target) AS BIGINT) // source_size)
+      + greatest(0, least(size, CAST(round(target) AS BIGINT) % source_size - start)) ELSE 0 END AS taken, start / target AS u
+  FROM c)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
+  CASE WHEN taken > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE,
+    CASE WHEN s = 0 THEN u ELSE (sqrt((1 - s) * (1 - s) + 4 * s * u) - (1 - s)) / (2 * s) END)) END AS position
+FROM k""",
 }
