@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairweave.llm.langid import language_id
 from pairweave.llm.mixing import mixed
 from pairweave.llm.neardup import near_duplicates
 from pairweave.llm.quality import quality_weights
+from pairweave.llm.segment import decode, encode
+from pairweave.llm.tokencount import token_counts
 from pairweave.llm.toxicity import toxicity
 
 
@@ -34,11 +37,31 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document, digested, and whether they decode to its text."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rows = encode(docs, keep_text=True)
+    back = decode(rows)
+    return back.select(
+        "doc_id",
+        F.expr("transform(samples, x -> size(x.ids))").alias("n_ids"),
+        F.expr("transform(samples, x -> xxhash64(x.ids))").alias("ids_hash"),
+        F.expr("transform(samples, x -> x.log_prob)").alias("log_prob"),
+        F.expr("transform(samples, x -> x.inclusion)").alias("inclusion"),
+        F.expr("forall(texts, x -> x = text)").alias("round_trip"),
+    )
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weight and selection of every document."""
     return quality_weights(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count of every document."""
+    return token_counts(documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language_id(documents(spark, sf_dir))
@@ -48,8 +71,10 @@ QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_mixing_sources": op2_mixing_sources,
     "op3_toxicity": op3_toxicity,
+    "op4_sentencepiece": op4_sentencepiece,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_language_id": op9_language_id,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
