@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairweave.llm.langid import language_id
 from pairweave.llm.mixing import mixed
 from pairweave.llm.neardup import near_duplicates
+from pairweave.llm.pii import find_spans
 from pairweave.llm.quality import quality_weights
 from pairweave.llm.segment import decode, encode
 from pairweave.llm.tokencount import token_counts
@@ -62,6 +63,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return find_spans(documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language_id(documents(spark, sf_dir))
@@ -73,6 +79,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
