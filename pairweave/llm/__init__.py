@@ -1,0 +1,8 @@
+"""Operators for training corpora; nothing else in the package imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions travel with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,16 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-import pairweave.llm
-
-# functions travel with the job, so executors need no copy of this package
-cloudpickle.register_pickle_by_value(pairweave.llm)
-
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str, keep: int = 0, rows: int = 512) -> DataFrame:
     """Columns computed from the rows of df, beside its first ``keep`` columns.

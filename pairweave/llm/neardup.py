@@ -215,10 +215,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs which are the first of their group, each once, with all columns.
 
-    Rows that repeat a kept id and its text exactly are reduced to one; rows with a null
-    id, or without words, all stay.
+    Rows that repeat an id and its text are reduced to one; rows with a null id all stay,
+    and so does every other row without words.
     """
     d = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     ids = docs.where(F.col("doc_id").isNotNull())
     kept = ids.join(d, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    return kept.union(docs.where(F.col("doc_id").isNull()))
+    return kept.dropDuplicates(["doc_id", "text"]).union(docs.where(F.col("doc_id").isNull()))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairweave.llm.jpeg import media_digests, media_features, stored
 from pairweave.llm.langid import language_id
 from pairweave.llm.mixing import mixed
 from pairweave.llm.neardup import near_duplicates
+from pairweave.llm.phrases import document_fingerprints
 from pairweave.llm.pii import find_spans
 from pairweave.llm.quality import quality_weights
 from pairweave.llm.segment import decode, encode
@@ -53,6 +55,16 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return document_fingerprints(documents(spark, sf_dir))
+
+
+def op6_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a baseline JPEG, read back, with sizes, digests and features."""
+    return media_digests(media_features(stored(documents(spark, sf_dir))))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weight and selection of every document."""
     return quality_weights(documents(spark, sf_dir), labels(spark, sf_dir))
@@ -78,6 +90,8 @@ QUERIES = {
     "op2_mixing_sources": op2_mixing_sources,
     "op3_toxicity": op3_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_media_jpeg": op6_media_jpeg,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
