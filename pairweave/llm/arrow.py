@@ -10,12 +10,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str, keep: int = 0, rows: int = 512) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str, keep: int = 0, rows: int = 512, raw: bool = False) -> DataFrame:
     """Columns computed from the rows of df, beside its first ``keep`` columns.
 
     ``make()`` runs once in each task and returns the function, which gets the remaining
     columns of up to ``rows`` rows as Python lists and returns the lists of the new
-    columns. Small slices bound the memory of a task whatever the batch size of the
+    columns, as lists or Arrow arrays. With ``raw`` it gets Arrow arrays. Small slices bound the memory of a task whatever the batch size of the
     session. ``schema`` names the new columns.
     """
     kept = StructType(df.schema.fields[:keep])
@@ -28,9 +28,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                found = f(*(part.column(i).to_pylist() for i in range(keep, part.num_columns)))
+                found = f(*(part.column(i) if raw else part.column(i).to_pylist() for i in range(keep, part.num_columns)))
                 arrays = [part.column(i).cast(shape.field(i).type) for i in range(keep)]
-                arrays += [pa.array(x, shape.field(keep + i).type) for i, x in enumerate(found)]
+                arrays += [x.cast(shape.field(keep + i).type) if isinstance(x, pa.Array) else pa.array(x, shape.field(keep + i).type) for i, x in enumerate(found)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=shape)
 
     return df.mapInArrow(run, full)
