@@ -4,8 +4,8 @@ The pieces are those of a public sentencepiece model file (a parameter, never co
 here, never trained). That file ranks its pieces but gives no probabilities; the
 unigram scores are the logs of a Zipf law over the rank, which needs no corpus.
 
-A text is cut into units before every run of spaces (written as the piece marker) and
-behind words where no piece joins the two sides, so no piece of the inventory spans two
+A text is cut into units before every run of spaces (written as the piece marker),
+around line ends and behind words where no piece joins the two sides, so no piece of the inventory spans two
 units; this is derived and checked when the vocabulary is loaded.
 Code points that no piece covers fall back to the byte pieces, as one unknown with the
 unknown's penalty, and neighbouring unknowns are one, as in the public unigram
@@ -19,6 +19,7 @@ import math
 import re
 
 import ahocorasick
+import numpy as np
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -45,15 +46,23 @@ class Vocabulary:
         for p, (i, s) in pieces.items():
             self.automaton.add_word(p, (len(p), s, i))
         self.automaton.make_automaton()
-        self.chances = ahocorasick.Automaton()
-        for p, (i, s) in pieces.items():
-            self.chances.add_word(p, (len(p), math.exp(s), i))
-        self.chances.make_automaton()
+        self.numbered = ahocorasick.Automaton()
+        for n, p in enumerate(pieces):
+            self.numbered.add_word(p, n)
+        self.numbered.make_automaton()
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
+        self.chances = np.exp(np.array([s for _, s in pieces.values()]))
+        self.ids = np.array([i for i, _ in pieces.values()], np.int32)
+        used = set().union(*pieces) if pieces else set()
+        self.separator = next(c for c in map(chr, range(0xFDD0, 0xFDF0)) if c not in used)
         self.singles = frozenset(p for p in pieces if len(p) == 1)
         joined = {b for p in pieces for a, b in zip(p, p[1:], strict=False) if re.match(r"\w", a)}
         cut = "".join(c for c in _BEHIND if c not in joined)
-        # runs of markers with a word, if the next character can't join it, or with all up to the next marker
-        self.unit = re.compile(f"{MARK}*\\w+(?=[{re.escape(cut)}{MARK}]|\\Z)|{MARK}*[^{MARK}]+|{MARK}+")
+        # line ends stand alone where no piece holds one
+        alone = "".join(c for c in "\n\r\t" if c not in used)
+        line = re.escape(alone)
+        # else runs of markers with a word, if the next character can't join it, or with all up to the next marker
+        self.unit = re.compile((f"[{line}]|" if alone else "") + f"{MARK}*\\w+(?=[{re.escape(cut)}{MARK}{line}]|\\Z)|{MARK}*[^{MARK}{line}]+|{MARK}+")
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("a piece spans two units")
 
