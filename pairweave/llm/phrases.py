@@ -183,15 +183,16 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
         number = F.when(F.col("doc_id").isNull(), len(edges)).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)), lambda b: b >= F.col("doc_id"))))
     rows = docs.select("doc_id", "text", number.alias("range"))
     heads = {r["range"]: r["head"] for r in ids.withColumn("range", number).groupBy("range").agg(F.max("doc_id").alias("head")).collect()}
+    # by range: its largest id, and the range whose last row needs it (the first lends to the last)
     order = sorted(heads)
-    lend = [(heads[r], order[i - 1], r) for i, r in enumerate(order)]
-    own = F.struct(F.col("range").alias("to"), F.lit(0).alias("role"))
-    shape = "array<struct<to int, role int>>"
-    lent = F.lit(None).cast(shape)
-    for head, to, r in lend:
-        lent = F.when((F.col("range") == r) & F.col("doc_id").eqNullSafe(F.lit(head)), F.array(F.struct(F.lit(to).alias("to"), F.lit(1).alias("role"))).cast(shape)).otherwise(lent)
-    lent_to = F.coalesce(lent, F.array().cast(shape))
-    dealt = rows.select("doc_id", "text", F.explode(F.concat(F.array(own).cast(shape), lent_to)).alias("at")).select("doc_id", "text", "at.to", "at.role")
+    needs = dict(zip(order, [order[-1], *order[:-1]], strict=True)) if order else {}
+    kind = docs.schema["doc_id"].dataType
+    every = range(len(edges) + 1)
+    head = F.get(F.array(*[F.lit(heads.get(r)).cast(kind) for r in every]), F.col("range"))
+    to = F.get(F.array(*[F.lit(needs.get(r)).cast("int") for r in every]), F.col("range"))
+    place = lambda to, role: F.struct(to.cast("int").alias("to"), F.lit(role).alias("role"))
+    both = F.when(F.col("doc_id").eqNullSafe(head), F.array(place(F.col("range"), 0), place(to, 1))).otherwise(F.array(place(F.col("range"), 0)))
+    dealt = rows.select("doc_id", "text", F.explode(both).alias("at")).select("doc_id", "text", "at.to", "at.role")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "to").sortWithinPartitions(F.col("to"), F.col("role"), F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
 
