@@ -9,7 +9,6 @@ import __spark_entry__ as entry
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-LIBRARY = [n for n in entry.queries() if not n.startswith("op") and n != "pipeline"]
 
 
 @pytest.fixture(scope="module")
