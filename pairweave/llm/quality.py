@@ -6,7 +6,8 @@ text, counted over a bounded sample of rows labelled good, one of the raw text,
 over every document. The log importance weight of a document is the sum of its n-grams'
 log ratios. Documents are resampled without replacement by Gumbel top-k: each weight gets
 Gumbel noise seeded by the document's id, and the k largest are selected, where k is the
-number of documents that the target model explains at least as well as the raw one.
+number of documents that the target model explains at least as well as the raw one, up to
+a slack of a few nats, which keeps short clean documents.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BUCKETS = 1 << 14
 FIT_ROWS = 6000
 SEED = 13
 PRIOR, FLOOR = 40.0, 0.05
+#: Nats by which the raw model may explain a document better and still leave it in.
+SLACK = 2.0
 
 _CLASS = np.full(256, 2, np.uint8)  # 0 space, 1 word, 2 punctuation
 _CLASS[:33] = 0
@@ -115,7 +118,7 @@ def quality_weights(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     ratios = fit_on(docs, labels, fit_rows)
     scored = _weighted(docs.select("doc_id", "text"), ratios).select("doc_id", F.col("_pw_weight").alias("log_weight"), (F.col("_pw_weight") + gumbel("doc_id", seed)).alias("perturbed"))
     scored = Scratch(docs.sparkSession, "quality").table(scored)
-    k = scored.where(F.col("log_weight") >= 0).count()
+    k = scored.where(F.col("log_weight") >= -SLACK).count()
     return scored.withColumn("selected", cut_at(scored, "perturbed", "doc_id", k))
 
 
@@ -125,6 +128,6 @@ def keep_selected(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     noisy = F.col("_pw_weight") + gumbel("doc_id", seed)
     scratch = Scratch(docs.sparkSession, "quality")
     scored = scratch.table(_weighted(docs.select("doc_id", "text"), ratios).select("doc_id", "_pw_weight", noisy.alias("_pw_key")))
-    cut = cut_at(scored, "_pw_key", "doc_id", scored.where(F.col("_pw_weight") >= 0).count())
+    cut = cut_at(scored, "_pw_key", "doc_id", scored.where(F.col("_pw_weight") >= -SLACK).count())
     scratch.drop(scored)
     return _weighted(docs, ratios).withColumn("_pw_key", noisy).where(cut).drop("_pw_key", "_pw_weight")
