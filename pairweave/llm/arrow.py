@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+def calm_collector() -> None:
+    """Collect what the last task left, then let the garbage collector run rarely: large tables without cycles follow."""
+    gc.collect()
+    gc.set_threshold(500_000, 20, 50)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str, keep: int = 0, rows: int = 512, raw: bool = False) -> DataFrame:
     """Columns computed from the rows of df, beside its first ``keep`` columns.
 

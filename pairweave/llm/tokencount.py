@@ -10,11 +10,9 @@ unknowns are one token, or their bytes where the inventory has byte pieces. See
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame
 
-from pairweave.llm.arrow import map_rows
+from pairweave.llm.arrow import calm_collector, map_rows
 from pairweave.llm.unigram import Counter
 
 
@@ -27,7 +25,7 @@ def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
     """
 
     def make():
-        gc.disable()  # the cache holds no cycles
+        calm_collector()
         counter = Counter(model)
 
         def run(texts):
