@@ -14,10 +14,15 @@ def remainder(modulus: int, key: str = "doc_id") -> Column:
 def lowest_by_hash(rows: DataFrame, by: str, per_class: int, seed: int) -> DataFrame:
     """doc_id and class of at most per_class rows of every class, chosen by a seeded hash of the id.
 
-    Only ids and classes take part; the rank limit is applied before the shuffle too.
+    Only ids and classes take part. Rows whose hash is far above what a class of its size
+    needs are dropped before the rank, so the task that ranks a class sees a few times
+    per_class rows, however large the class is.
     """
-    order = f"xxhash64(doc_id, {seed})"
-    ranked = rows.selectExpr("doc_id", by, f"row_number() over (partition by {by} order by {order}, doc_id) as _rank")
+    u = F.expr(f"shiftrightunsigned(xxhash64(doc_id, {seed}), 11) / {float(1 << 53)}D")
+    ids = rows.select("doc_id", by)
+    sizes = ids.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    near = ids.join(sizes, by).withColumn("_u", u).where(F.col("_u") <= F.lit(4.0 * per_class + 1000) / F.col("_n"))
+    ranked = near.selectExpr("doc_id", by, f"row_number() over (partition by {by} order by _u, doc_id) as _rank")
     return ranked.where(F.col("_rank") <= per_class).select("doc_id", by)
 
 
