@@ -50,7 +50,7 @@ class _Union:
 def split_by_tree(nodes: list, edges: list[tuple], max_size: int, keep: str = "min") -> list[list]:
     """Parts of at most max_size: a spanning tree loses its lightest edges, as few as suffice.
 
-    keep="min" builds the tree of smallest total weight (the reference behaviour), "max"
+    keep="min" builds the tree of smallest total weight, "max"
     the one that holds the strongest links. edges are (u, v, weight); ties by (u, v).
     """
     order = sorted(edges, key=lambda e: (e[2] if keep == "min" else -e[2], e[0], e[1]))
