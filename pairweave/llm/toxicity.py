@@ -142,30 +142,39 @@ def learn(rows: list[tuple[str, int]], totals: tuple[int, int] | None = None) ->
     A word enters the lexicon if its support is LEAST_SUPPORT or more, its log odds are
     LEAST_ODDS or more and its log-likelihood ratio against chance is LEAST_RATIO or more.
     """
-    contexts: dict[str, set] = defaultdict(set)
     tox: dict[str, int] = defaultdict(int)
     clean: dict[str, int] = defaultdict(int)
     n = [sum(1 for _, y in rows if not y), sum(1 for _, y in rows if y)]
     model = {"lexicon": {}, "scale": 1.0, "bias": -3.0}
     if not n[0] or not n[1]:
         return model
-    closed = _classes()
     for text, y in rows:
-        tokens = _WORD.findall((text or "").lower())
-        for w in set(tokens):
+        for w in set(_WORD.findall((text or "").lower())):
             (tox if y else clean)[w] += 1
+
+    def odds_of(w: str, p: int) -> float | None:
+        """Log odds of a word with this support, if they and the likelihood ratio are large enough; both grow with p."""
+        q = clean.get(w, 0)
+        if p < LEAST_SUPPORT:
+            return None
+        odds = math.log((p + 0.5) / (n[1] + 1)) - math.log((q + 0.5) / (n[0] + 1))
+        mean = (p + q) / (n[0] + n[1])
+        ratio = 2 * (p * math.log(p / (n[1] * mean)) + (q * math.log(q / (n[0] * mean)) if q else 0.0))
+        return odds if odds >= LEAST_ODDS and ratio >= LEAST_RATIO else None
+
+    closed = _classes()
+    contexts: dict[str, set] = {w: set() for w, p in tox.items() if w not in closed and len(w) >= 3 and odds_of(w, p) is not None}
+    for text, y in rows:
         if y:
+            tokens = _WORD.findall((text or "").lower())
             for i, w in enumerate(tokens):
-                contexts[w].add((tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else ""))
+                if w in contexts:
+                    contexts[w].add((tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else ""))
     lexicon = {}
     for w, seen in contexts.items():
-        p, q = min(len(seen), tox[w]), clean[w]
-        if w in closed or len(w) < 3 or p < LEAST_SUPPORT:
-            continue
-        odds = math.log((p + 0.5) / (n[1] + 1)) - math.log((q + 0.5) / (n[0] + 1))
-        mean = (p + q) / (n[0] + n[1])
-        ratio = 2 * (p * math.log(p / (n[1] * mean)) + (q * math.log(q / (n[0] * mean)) if q else 0.0))
-        if odds >= LEAST_ODDS and ratio >= LEAST_RATIO:
+        p = min(len(seen), tox[w])
+        odds = odds_of(w, p)
+        if odds is not None:
             lexicon[w] = (p, min(odds, 6.0))
     model["lexicon"] = {w: lexicon[w][1] for w in sorted(lexicon, key=lambda w: (-lexicon[w][0], w))[:LEXICON]}
     scorer = Scorer(model)
