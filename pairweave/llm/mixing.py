@@ -141,14 +141,19 @@ def mix_documents(docs: DataFrame, share_percent: int = SHARE_PERCENT, most: int
         .agg(F.expr("sum(taken) div count(1)").alias("taken"), *(F.min(c).alias(c) for c in ("_start", "source_size", "target", "_s")))
         .where("taken > 0").withColumnsRenamed(name)
     )
-    rows = docs.select(*docs.columns, word_count().alias("_pw_words"))
-    same = rows["doc_id"].eqNullSafe(plan["_pw_doc_id"]) & rows["source"].eqNullSafe(plan["_pw_source"]) & (rows["_pw_words"] == plan["_pw_size"])
+    # the columns of docs go by number meanwhile, so none can clash with the plan's
+    names = docs.columns
+    own = {c: f"_pw_c{i}" for i, c in enumerate(names)}
+    rows = docs.toDF(*own.values())
+    rows = rows.withColumn("_pw_words", word_count(own["text"]))
+    same = rows[own["doc_id"]].eqNullSafe(plan["_pw_doc_id"]) & rows[own["source"]].eqNullSafe(plan["_pw_source"]) & (rows["_pw_words"] == plan["_pw_size"])
     copies = rows.join(plan, same).withColumn("_pw_copy", F.explode(F.expr("sequence(0L, (taken - 1) div _pw_size)")))
     copies = copies.withColumn("_pw_part", F.expr("least(_pw_size, taken - _pw_copy * _pw_size)")).withColumn("position", _position("_pw_copy * source_size + _start"))
+    out = _in_order(copies.withColumn("doc_id", F.col(own["doc_id"])))
     cut = F.expr("_pw_part < _pw_size")
-    part = F.expr(f"array_join(slice(regexp_extract_all(text, '{_WORD}', 0), 1, cast(_pw_part as int)), ' ')")
-    out = _in_order(copies)
-    out = out.withColumn("text", F.when(cut, part).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    part = F.expr(f"array_join(slice(regexp_extract_all({own['text']}, '{_WORD}', 0), 1, cast(_pw_part as int)), ' ')")
+    out = out.withColumn(own["text"], F.when(cut, part).otherwise(F.col(own["text"])))
+    if "n_chars" in own:
+        n = own["n_chars"]
+        out = out.withColumn(n, F.when(cut, F.length(own["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return out.select(*own.values()).toDF(*names)

@@ -314,3 +314,6 @@ def test_mixing_edges(odd, none):
     assert mixing.mixed(none).count() == 0 and mixing.mix_documents(none).count() == 0
     mix = mixing.mix_documents(odd)
     assert mix.columns == odd.columns and mix.count() > 0
+    clash = odd.withColumns({c: F.lit(1) for c in ("taken", "position", "target", "source_size", "_s", "_start", "size", "rank")})
+    assert mixing.mix_documents(clash).columns == clash.columns
+    assert sorted(map(str, mixing.mix_documents(clash).select(odd.columns).collect())) == sorted(map(str, mix.collect()))
