@@ -265,4 +265,4 @@ def t6(spark: SparkSession, sf: str) -> DataFrame:
     "c AS (SELECT DISTINCT x.d AS i, y.d AS j FROM u x JOIN u y ON x.b = y.b AND x.d < y.d WHERE x.df <= 20 AND y.df <= 20)",
     body="SELECT i, j, sim FROM (SELECT i, j, round(sum(p.u * q.u), 8) AS sim FROM c JOIN u p ON p.d = i JOIN u q ON q.d = j AND q.b = p.b GROUP BY i, j) WHERE sim >= 0.5"))
 def b2(spark: SparkSession, sf: str) -> DataFrame:
-    return models.tfidf_pairs(S.table(spark, sf, "documents"), "text", "doc_id", 0.5, 20)
+    return models.tfidf_pairs(S.table(spark, sf, "documents"), "text", "doc_id", 0.5)
