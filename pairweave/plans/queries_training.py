@@ -14,6 +14,11 @@ from pairweave.plans.scratch import Scratch
 from pairweave.sources import items as S
 
 
+#: The reference's caps: positives of a band, warm-up pairs, and groups (positive, negative, of these within a department).
+MAX_HIGH, MAX_MEDIUM, MAX_WARMUP = 80_000, 60_000, 25_000
+MAX_GROUPS = (15_000, 45_000, 15_000)
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in names})
 
@@ -27,6 +32,11 @@ def m1(spark: SparkSession, sf: str) -> DataFrame:
     return mining.positives(S.items(spark, sf))
 
 
+def half_of_positives(spark: SparkSession, sf: str) -> int:
+    """The reference's number of negatives of each kind."""
+    return mining.positives(S.items(spark, sf)).count() // 2
+
+
 def _consecutive(name: str, source: str, key: str) -> str:
     return f"""
 {name}_n AS (SELECT item_id, label, {key} AS k, row_number() OVER (PARTITION BY {key} ORDER BY {O.hashed("item_id")}, item_id) AS rn FROM {source}),
@@ -38,12 +48,12 @@ def _consecutive(name: str, source: str, key: str) -> str:
 
 @query("m2_same_dept_negatives", O.statement(O.ITEMS, "d AS (SELECT * FROM items WHERE dept_id <> 0)", _consecutive("neg", "d", "dept_id"), body="SELECT * FROM neg"))
 def m2(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.same_dept_negatives(S.items(spark, sf), 40)
+    return mining.same_dept_negatives(S.items(spark, sf), half_of_positives(spark, sf))
 
 
 @query("m3_random_negatives", O.statement(O.ITEMS, f"d AS (SELECT *, CAST('0x' || substr({O.hashed('item_id', seed='cell')}, 1, 4) AS BIGINT) % 16 AS cell FROM items)", _consecutive("neg", "d", "cell"), body="SELECT * FROM neg"))
 def m3(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.random_negatives(S.items(spark, sf), 40)
+    return mining.random_negatives(S.items(spark, sf), half_of_positives(spark, sf))
 
 
 def _banded(low: float, high: float | None, cap: int, ratio: int) -> str:
@@ -59,12 +69,12 @@ _BANDED = "SELECT i, j, y FROM bp UNION ALL SELECT i, j, y FROM bn"
 
 @query("m4_high_band", O.statement(O.ITEMS, O.PAIRS, _banded(HIGH, None, 20, 3), body=_BANDED))
 def m4(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.banded(scored(spark, sf), S.items(spark, sf), HIGH, None, 20, 3)
+    return mining.banded(scored(spark, sf), S.items(spark, sf), HIGH, None, MAX_HIGH, 3)
 
 
 @query("m5_medium_band", O.statement(O.ITEMS, O.PAIRS, _banded(MEDIUM, HIGH, 10, 99), body=_BANDED))
 def m5(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.banded(scored(spark, sf), S.items(spark, sf), MEDIUM, HIGH, 10, 99)
+    return mining.banded(scored(spark, sf), S.items(spark, sf), MEDIUM, HIGH, MAX_MEDIUM, 99)
 
 
 _NEAR = O.near("tnn", "text_emb", K)
@@ -115,12 +125,12 @@ def m8_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m9_mined_groups")
 def m9(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.mined_groups(S.items(spark, sf), 40, 40)
+    return mining.mined_groups(S.items(spark, sf), *MAX_GROUPS)
 
 
 @query("m10_warmup_pairs", O.statement(O.ITEMS, f"p1 AS (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {O.hashed('i', 'j')}, i, j) AS rn FROM ({_LABEL_PAIRS})) WHERE rn = 1)", body=f"SELECT i, j FROM p1 ORDER BY {O.hashed('i', 'j')}, i, j LIMIT 6"))
 def m10(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.warmup_pairs(S.items(spark, sf), 6)
+    return mining.warmup_pairs(S.items(spark, sf), MAX_WARMUP)
 
 
 @query("m11_stratified_split", O.statement(O.ITEMS, body=f"SELECT item_id, label, row_number() OVER (PARTITION BY label ORDER BY {O.hashed('item_id')}, item_id) <= floor(count(*) OVER (PARTITION BY label) * 0.2) AS is_val FROM items"))

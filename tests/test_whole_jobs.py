@@ -5,7 +5,10 @@ import math
 import re
 from collections import Counter
 
-from pairweave.operators import models
+import __spark_entry__ as entry
+from pairweave.operators import mining, models
+from pairweave.plans import queries_training as Q
+from pairweave.sources import items as S
 
 
 def tfidf_brute(texts, least):
@@ -28,3 +31,20 @@ def test_tfidf_pairs_of_common_words_only(spark):
         assert len(got) == len({(r.i, r.j) for r in got}) and {(r.i, r.j) for r in got} == set(want)
         assert all(abs(r.sim - want[r.i, r.j]) < 1e-7 for r in got)
     assert (211, 212) in want and min(Counter(w for t in texts.values() for w in set(t.split())).values()) > 20
+
+
+def test_miners_return_all_rows_below_the_reference_caps(spark, sf):
+    q = {n: entry.queries()[n](spark, sf) for n in ("m2_same_dept_negatives", "m3_random_negatives", "m4_high_band", "m5_medium_band", "m10_warmup_pairs")}
+    label = {r.item_id: r.label for r in S.items(spark, sf).collect()}
+    scored = [(r.combined, r.i, r.j, int(label[r.i] == label[r.j])) for r in Q.scored(spark, sf).collect()]
+    high = {x[1:] for x in scored if x[0] >= Q.HIGH}
+    medium = {x[1:] for x in scored if Q.MEDIUM <= x[0] < Q.HIGH}
+    for name, band, ratio in (("m4_high_band", high, 3), ("m5_medium_band", medium, 99)):
+        got = {(r.i, r.j, r.y) for r in q[name].collect()}
+        pos = {x for x in band if x[2]}
+        assert got <= band and {x for x in got if x[2]} == pos and len(got) == len(pos) + min(len(band) - len(pos), ratio * len(pos))
+    assert {label[r.i] for r in q["m10_warmup_pairs"].collect()} == set(label.values())
+    half = mining.positives(S.items(spark, sf)).count() // 2
+    assert q["m2_same_dept_negatives"].count() == q["m3_random_negatives"].count() == half
+    groups = entry.queries()["m9_mined_groups"](spark, sf).groupBy("kind").agg({"group_id": "count"}).collect()
+    assert sum(r[1] for r in groups if r[0] == "pos") > 40 * 5
