@@ -386,11 +386,11 @@ lg AS (SELECT p.r, q.r AS c, list_dot_product(p.a, q.b) / 0.05 AS s FROM x p, x
 
 
 def _logits(spark: SparkSession, sf: str) -> DataFrame:
-    """A training batch of 64 items: its logits are all pairs, which is what the loss is defined on."""
-    e = S.table(spark, sf, "embeddings").where("vec_id < 64")
-    left = e.select(F.col("vec_id").alias("r"), C.as_doubles(F.slice("embedding", 1, 32)).alias("a"))
-    right = e.select(F.col("vec_id").alias("c"), C.as_doubles(F.slice("embedding", 33, 32)).alias("b"))
-    return left.crossJoin(right).select("r", "c", (C.dot(F.col("a"), F.col("b")) / 0.05).alias("s"))
+    """Batches of 64 items; the logits of a batch are all its pairs, which is what the loss is defined on."""
+    e = S.table(spark, sf, "embeddings").withColumn("batch", F.expr("vec_id div 64"))
+    left = e.select("batch", F.col("vec_id").alias("r"), C.as_doubles(F.slice("embedding", 1, 32)).alias("a"))
+    right = e.select("batch", F.col("vec_id").alias("c"), C.as_doubles(F.slice("embedding", 33, 32)).alias("b"))
+    return left.join(right, "batch").select("batch", "r", "c", (C.dot(F.col("a"), F.col("b")) / 0.05).alias("s"))
 
 
 @query("t4_info_nce", O.statement(_LOGITS, "rows_ AS (SELECT avg(z - d) AS l FROM (SELECT r, ln(sum(exp(s - 100))) + 100 AS z, max(CASE WHEN r = c THEN s END) AS d FROM lg GROUP BY r))", "cols_ AS (SELECT avg(z - d) AS l FROM (SELECT c, ln(sum(exp(s - 100))) + 100 AS z, max(CASE WHEN r = c THEN s END) AS d FROM lg GROUP BY c))", body="SELECT round((rows_.l + cols_.l) / 2, 6) AS loss FROM rows_, cols_"))

@@ -48,3 +48,22 @@ def test_miners_return_all_rows_below_the_reference_caps(spark, sf):
     assert q["m2_same_dept_negatives"].count() == q["m3_random_negatives"].count() == half
     groups = entry.queries()["m9_mined_groups"](spark, sf).groupBy("kind").agg({"group_id": "count"}).collect()
     assert sum(r[1] for r in groups if r[0] == "pos") > 40 * 5
+
+
+def test_losses_average_over_all_batches(spark, sf):
+    rows = sorted((r.vec_id, [float(x) for x in r.embedding]) for r in S.table(spark, sf, "embeddings").select("vec_id", "embedding").collect())
+    batches = {}
+    for i, v in rows:
+        batches.setdefault(i // 64, []).append(v)
+    assert len(batches) > 1
+
+    def loss(s):
+        return sum(max(x) + math.log(sum(math.exp(y - max(x)) for y in x)) - x[k] for k, x in enumerate(s)) / len(s)
+
+    both, hard = [], []
+    for vs in batches.values():
+        s = [[sum(x * y for x, y in zip(a[:32], b[32:64])) / 0.05 for b in vs] for a in vs]
+        hard.append(loss(s))
+        both.append((loss(s) + loss(list(zip(*s)))) / 2)
+    for name, want in (("t4_info_nce", both), ("t5_info_nce_hard", hard)):
+        assert abs(entry.queries()[name](spark, sf).first().loss - sum(want) / len(want)) < 1e-5
