@@ -19,7 +19,6 @@ import math
 import re
 
 import ahocorasick
-import numpy as np
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -36,27 +35,14 @@ def default_model() -> str:
 
 
 class Vocabulary:
-    """Pieces with their scores, and the automaton which finds them."""
+    """Pieces with their scores, and the automaton which finds them (made when first asked for)."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], unknown: int, byte_ids: list[int] | None) -> None:
         self.pieces, self.unknown, self.byte_ids = pieces, unknown, byte_ids
         self.unknown_score = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.text = {i: p for p, (i, _) in pieces.items()}
-        self.automaton = ahocorasick.Automaton()
-        for p, (i, s) in pieces.items():
-            self.automaton.add_word(p, (len(p), s, i))
-        self.automaton.make_automaton()
-        self.numbered = ahocorasick.Automaton()
-        for n, p in enumerate(pieces):
-            self.numbered.add_word(p, n)
-        self.numbered.make_automaton()
-        self.lengths = np.array([len(p) for p in pieces], np.int64)
-        self.chances = np.exp(np.array([s for _, s in pieces.values()]))
-        self.ids = np.array([i for i, _ in pieces.values()], np.int32)
         used = set().union(*pieces) if pieces else set()
-        self.separator = next(c for c in map(chr, range(0xFDD0, 0xFDF0)) if c not in used)
-        self.singles = frozenset(p for p in pieces if len(p) == 1)
-        joined = {b for p in pieces for a, b in zip(p, p[1:], strict=False) if re.match(r"\w", a)}
+        joined = {b for p in pieces for a, b in zip(p, p[1:], strict=False) if a.isalnum() or a == "_"}
         cut = "".join(c for c in _BEHIND if c not in joined)
         # line ends stand alone where no piece holds one
         alone = "".join(c for c in "\n\r\t" if c not in used)
@@ -66,6 +52,14 @@ class Vocabulary:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("a piece spans two units")
 
+    @functools.cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton()
+        for p, (i, s) in self.pieces.items():
+            out.add_word(p, (len(p), s, i))
+        out.make_automaton()
+        return out
+
     def unknown_pieces(self, text: str) -> int:
         """How many ids a run of uncovered text becomes."""
         return len(text.encode("utf-8", "surrogatepass")) if self.byte_ids else 1
