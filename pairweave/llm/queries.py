@@ -43,7 +43,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document, digested, and whether they decode to its text."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    rows = encode(docs, keep_text=True)
+    rows = encode(docs, keep=("text",))
     back = decode(rows)
     return back.select(
         "doc_id",

@@ -19,9 +19,11 @@ from pairweave.llm.unigram import Counter
 def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_units of every row of docs.
 
-    A null or empty text has no tokens. Repeated rows get equal counts; a null doc_id
-    stays null. Other columns are not read. ``model`` is the path of a sentencepiece
-    model file that gives the inventory.
+    A null or empty text has no tokens. Texts are counted whole, whatever their length;
+    time and memory grow in proportion to it. Repeated rows get equal counts; a null
+    doc_id stays null; ties between segmentations follow the rule above. An empty table
+    gives an empty result. Other columns, whatever their names, are not read. ``model`` is
+    the path of a sentencepiece model file that gives the inventory.
     """
 
     def make():

@@ -86,7 +86,7 @@ def test_tables_change_no_result():
 
 
 def test_encode_decode(odd, none):
-    back = segment.decode(segment.encode(odd, keep_text=True)).collect()
+    back = segment.decode(segment.encode(odd, keep=("text",))).collect()
     assert len(back) == 9
     for r in back:
         if r.text is None:
