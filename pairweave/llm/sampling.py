@@ -5,23 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Classes whose sizes are broadcast at most.
+MOST_CLASSES = 1000
+
 
 def remainder(modulus: int, key: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo; -1 for a null id, which belongs to no fold."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(modulus)).cast("int"), F.lit(-1))
 
 
+def class_sizes(rows: DataFrame, by: str) -> DataFrame:
+    """The class column and _n, rows of every class.
+
+    Up to MOST_CLASSES classes are counted first and come as a broadcast table; beyond
+    that the table is joined like any other. Both give the same rows.
+    """
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    few = sizes.limit(MOST_CLASSES + 1).collect()
+    return F.broadcast(rows.sparkSession.createDataFrame(few, sizes.schema)) if len(few) <= MOST_CLASSES else sizes
+
+
 def lowest_by_hash(rows: DataFrame, by: str, per_class: int, seed: int) -> DataFrame:
     """doc_id and class of at most per_class rows of every class, chosen by a seeded hash of the id.
 
     Only ids and classes take part. Rows whose hash is far above what a class of its size
-    needs are dropped before the rank, so the task that ranks a class sees a few times
+    needs are dropped where they are read, so the task that ranks a class gets a few times
     per_class rows, however large the class is.
     """
     u = F.expr(f"shiftrightunsigned(xxhash64(doc_id, {seed}), 11) / {float(1 << 53)}D")
     ids = rows.select("doc_id", by)
-    sizes = ids.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    near = ids.join(sizes, by).withColumn("_u", u).where(F.col("_u") <= F.lit(4.0 * per_class + 1000) / F.col("_n"))
+    near = ids.join(class_sizes(ids, by), by).withColumn("_u", u).where(F.col("_u") <= F.lit(4.0 * per_class + 1000) / F.col("_n"))
     ranked = near.selectExpr("doc_id", by, f"row_number() over (partition by {by} order by _u, doc_id) as _rank")
     return ranked.where(F.col("_rank") <= per_class).select("doc_id", by)
 
