@@ -4,7 +4,8 @@ The text vector is the mean of the embeddings of the hashed byte 2- to 4-grams o
 words (each word with its boundaries). Embeddings and softmax weights are trained
 together by stochastic gradient descent in numpy on a bounded sample of labelled rows.
 A temperature and a rejection threshold are calibrated on a part of the sample that
-training does not see. Averaging is linear, so prediction folds embeddings and weights
+training does not see; a sample of less than ten rows a language is not split, and then
+there is no calibration (temperature 1, nothing rejected). Averaging is linear, so prediction folds embeddings and weights
 into one table of class logits per bucket, which is exact.
 """
 
@@ -30,9 +31,14 @@ _WORD_BYTE[65:91] = np.arange(97, 123)
 _WORD_BYTE[128:] = np.arange(128, 256)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of the text is a letter; signs like a raised two or a circled one are none."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def buckets(text: str | None) -> np.ndarray:
     """Bucket of every subword of the text; empty if it has no letter."""
-    if not text or not _LETTER.search(text):
+    if not has_letter(text):
         return np.zeros(0, np.int64)
     data = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "surrogatepass"), np.uint8)
     data = _WORD_BYTE[data]
@@ -81,9 +87,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = SEED) -> dic
             w -= 0.25 * rate * np.outer(v, p)
             e[idx] -= rate * share[:, None] * back[None, :] * 20
     table = (e @ w).astype(np.float32)
-    calibration = held if len(held) else train
     z, y = [], []
-    for i in calibration:
+    for i in held:
         lang, idx, n = rows[i]
         if len(idx):
             z.append((n / n.sum()) @ table[idx])
@@ -138,9 +143,11 @@ def language_id(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
 
     lang_pred is a learned value, or ``und`` where the text is null, empty or has no
     letter (score 0), or where no labelled row exists. score is the calibrated
-    probability; rejected marks scores below the calibrated threshold. Rows with a null
-    doc_id are predicted, never learned from, and not held out. Repeated rows get equal
-    results; other columns are not read.
+    probability; rejected marks scores below the calibrated threshold. Of languages with
+    equal probability the first by name is taken. Texts are read whole, whatever their
+    length. Rows with a null doc_id are predicted, never learned from, and not held out.
+    Repeated rows get equal results; an empty table gives an empty result; other columns,
+    whatever their names, are not read.
     """
     model = fit_on(docs, fit_rows)
     reject = model["reject"]
