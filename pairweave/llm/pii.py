@@ -8,14 +8,17 @@ that it decodes in all of them are reconciled for the document as a whole by wei
 interval scheduling. Base spans always stay; an added span must not touch one, needs a
 posterior of at least ``confidence`` and the plain shape of its kind.
 
-A window without a digit and without ``@`` cannot hold a span of any kind that passes
-its shape, so such windows are not read; this changes no result.
+A window without ``@`` and with fewer than four digits cannot hold a span of any kind
+that passes its shape, so such windows are not read; this changes no result. Windows are
+tagged a fixed number at a time as they come, so memory does not grow with a text's
+windows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +33,10 @@ WINDOW, STRIDE, TRAIN_WINDOW = 128, 64, 64
 HIDDEN, EMBED, BATCH, SEED = 16, 8, 50, 23
 #: Windows that training goes through in all, whatever their number.
 PASSES = 6500
+#: Places with a digit or an @ that training looks at in a document at most, chosen by a hash, and windows of a document without a span.
+FIT_PLACES, FIT_NEGATIVES = 40, 2
+#: Windows that are tagged together.
+TOGETHER = 256
 CONFIDENCE = 0.9
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -104,7 +111,8 @@ def written(spans: list[Span]) -> str:
 # character classes: 0 padding, 1 lower, 2 upper, 3 digit, 4 other letter, 5 space, 6 line end, others one each
 _SIGNS = ".@-+()_%#:/\"=,!|&$*"
 N_CLASSES = 8 + len(_SIGNS)
-_ASCII = np.full(128, 7, np.int64)
+_ASCII = np.full(129, 7, np.uint8)
+_ASCII[128] = 4
 _ASCII[97:123], _ASCII[65:91], _ASCII[48:58] = 1, 2, 3
 _ASCII[[32, 9]], _ASCII[[10, 13]] = 5, 6
 for _i, _c in enumerate(_SIGNS):
@@ -114,7 +122,19 @@ TAGS = 1 + 2 * len(KINDS)
 
 def classes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < 128, _ASCII[np.minimum(points, 127)], 4)
+    return _ASCII[np.minimum(points, 128)]
+
+
+def window_starts(c: np.ndarray) -> np.ndarray:
+    """Starts of the windows of a text's classes that can hold a span: with an @ or four digits."""
+    n = -(-len(c) // STRIDE)
+    if not n:
+        return np.zeros(0, np.int64)
+    per = WINDOW // STRIDE
+    stride = np.arange(0, len(c), STRIDE)
+    both = [np.concatenate((np.add.reduceat((c == k).astype(np.int64), stride), np.zeros(per, np.int64))) for k in (3, 8 + _SIGNS.index("@"))]
+    digits, signs = (sum(x[i : i + n] for i in range(per)) for x in both)
+    return np.flatnonzero((signs > 0) | (digits >= 4)) * STRIDE
 
 
 def tags_of(spans: list[Span], n: int) -> np.ndarray:
@@ -324,11 +344,14 @@ def _generated(rng: np.random.Generator, n: int) -> list[tuple[str, list[Span]]]
 
 
 def _training_windows(texts: list[str], most: int, rng: np.random.Generator) -> list[tuple[str, list[Span]]]:
-    """Windows around base spans, their digits redrawn, and windows with digits but no span."""
+    """Windows around base spans, their digits redrawn, and FIT_NEGATIVES windows with digits of a text without a span."""
     out: list[tuple[str, list[Span]]] = []
     for text in texts:
         spans = base_spans(text)
-        marks = [(a, b) for a, b, _ in spans] or [m.span() for m in list(_TRIGGER.finditer(text))[:: max(1, len(_TRIGGER.findall(text)) // 2)][:2]]
+        marks = [(a, b) for a, b, _ in spans]
+        if not marks:
+            found = [m.span() for m in _TRIGGER.finditer(text)]
+            marks = found[:: max(1, len(found) // FIT_NEGATIVES)][:FIT_NEGATIVES]
         for a, b in marks:
             lo = max(0, a - int(rng.integers(4, 40)))
             hi = lo + TRAIN_WINDOW
@@ -371,16 +394,36 @@ def plausible(kind: str, s: str) -> bool:
 
 def reconciled(found: list[tuple[int, int, str, float]], fixed: list[Span]) -> list[Span]:
     """The non-overlapping spans of largest total posterior times length, clear of the fixed ones."""
-    free = {(a, b, k): p for a, b, k, p in sorted(found, key=lambda x: x[3]) if all(b <= x or y <= a for x, y, _ in fixed)}
+    blocks: list[list[int]] = []  # the fixed spans, joined where they overlap
+    for x, y, _ in sorted(fixed):
+        if blocks and x < blocks[-1][1]:
+            blocks[-1][1] = max(blocks[-1][1], y)
+        else:
+            blocks.append([x, y])
+    starts = [x for x, _ in blocks]
+
+    def clear(a: int, b: int) -> bool:
+        i = bisect_left(starts, b) - 1  # the last block that starts before the end
+        return i < 0 or blocks[i][1] <= a
+
+    free = {(a, b, k): p for a, b, k, p in sorted(found, key=lambda x: x[3]) if a < b and clear(a, b)}
     order = sorted(free, key=lambda s: (s[1], s[0], KINDS.index(s[2])))
-    best: list[tuple[float, list[Span]]] = [(0.0, [])]
+    ends = [s[1] for s in order]
+    best, before, taken = [0.0], [], []  # by number of spans looked at: the best sum; where it goes on from
     for i, s in enumerate(order):
-        j = i
-        while j and order[j - 1][1] > s[0]:
-            j -= 1
-        gain = best[j][0] + free[s] * (s[1] - s[0])
-        best.append((gain, [*best[j][1], s]) if gain > best[i][0] else best[i])
-    return best[-1][1]
+        j = bisect_right(ends, s[0], 0, i)
+        gain = best[j] + free[s] * (s[1] - s[0])
+        taken.append(gain > best[i])
+        before.append(j)
+        best.append(max(gain, best[i]))
+    out, i = [], len(order)
+    while i:
+        if taken[i - 1]:
+            out.append(order[i - 1])
+            i = before[i - 1]
+        else:
+            i -= 1
+    return out[::-1]
 
 
 class Finder:
@@ -391,21 +434,12 @@ class Finder:
 
     def __call__(self, texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
         """For each text the base spans and all spans."""
-        base, where, windows = [], [], []
-        out = []
-        for i, text in enumerate(texts):
-            text = text or ""
-            base.append(base_spans(text))
-            starts = sorted({max(0, w) * STRIDE for m in _TRIGGER.finditer(text) for w in (m.start() // STRIDE, m.start() // STRIDE - 1)})
-            if starts:
-                c = classes(text)
-                for s in starts:
-                    x = c[s : s + WINDOW]
-                    where.append((i, s))
-                    windows.append(np.pad(x, (0, WINDOW - len(x))))
+        base = [base_spans(t or "") for t in texts]
         found: dict[int, list] = {}
-        for s in range(0, len(windows), 256):
-            for (i, start), spans in zip(where[s : s + 256], self.tagger.spans(np.array(windows[s : s + 256])), strict=True):
+        windows, where = np.zeros((TOGETHER, WINDOW), np.uint8), []
+
+        def tag() -> None:
+            for (i, start), spans in zip(where, self.tagger.spans(windows[: len(where)]), strict=True):
                 for a, b, k, p in spans:
                     text = texts[i]
                     a, b = a + start, min(b + start, len(text))
@@ -414,6 +448,21 @@ class Finder:
                     a, b = a + lead, a + lead + len(piece.strip(" .,;:\n"))
                     if p >= self.confidence and plausible(k, text[a:b]):
                         found.setdefault(i, []).append((a, b, k, p))
+            where.clear()
+
+        for i, text in enumerate(texts):
+            if not text or not _TRIGGER.search(text):
+                continue
+            c = classes(text)
+            for s in window_starts(c).tolist():
+                x = c[s : s + WINDOW]
+                windows[len(where), : len(x)], windows[len(where), len(x) :] = x, 0
+                where.append((i, s))
+                if len(where) == TOGETHER:
+                    tag()
+        if where:
+            tag()
+        out = []
         for i, spans in enumerate(base):
             more = reconciled(found[i], spans) if i in found else []
             out.append((spans, in_order([*spans, *more]) if more else spans))
@@ -421,13 +470,14 @@ class Finder:
 
 
 def fit_on(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Tagger:
-    """Train on at most fit_docs documents with a digit or an @, chosen by a hash of their text."""
+    """Train on at most fit_docs documents with a digit or an @, chosen by a hash of their text, and FIT_PLACES places in each."""
     rows = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.expr(f"xxhash64(text, {SEED})").alias("h"))
     least = rows.select("h").distinct().orderBy("h").limit(fit_docs).agg(F.max("h")).first()[0]
     if least is None:
         return fit([])
     # long texts are cut around their triggers on the executors: training needs windows only
-    near = F.expr("array_join(slice(regexp_extract_all(text, '(?s).{0,60}[0-9@].{0,80}', 0), 1, 40), ' ')")
+    places = "transform(regexp_extract_all(text, '(?s).{0,60}[0-9@].{0,80}', 0), x -> struct(xxhash64(x) as h, x as x))"
+    near = F.expr(f"array_join(transform(slice(array_sort({places}), 1, {FIT_PLACES}), p -> p.x), ' ')")
     texts = [r["t"] for r in rows.where(F.col("h") <= least).groupBy("h").agg(F.first(near).alias("t")).orderBy("h").collect()]
     return fit(texts)
 
@@ -436,7 +486,10 @@ def find_spans(docs: DataFrame, fit_docs: int = FIT_DOCS, confidence: float = CO
     """doc_id, counts by kind of all spans, base_sha256, spans, for every row of docs.
 
     A null text counts as empty and has no span. Offsets count code points, ends are
-    exclusive. Repeated rows get equal results. Other columns are not read.
+    exclusive. Texts are read whole; time and memory grow in proportion to their length.
+    Repeated rows get equal results; of added spans that overlap with equal sums the one
+    that ends first stays. Rows with a null doc_id are searched like others. An empty
+    table gives an empty result. Other columns, whatever their names, are not read.
     """
     tagger = fit_on(docs, fit_docs)
 
@@ -470,7 +523,11 @@ def mask(text: str, spans: list[Span]) -> str:
 
 
 def masked(docs: DataFrame, fit_docs: int = FIT_DOCS, confidence: float = CONFIDENCE) -> DataFrame:
-    """docs with its columns, personal data in text replaced by its kind; n_chars follows, if there. Nulls stay null."""
+    """docs with its columns, personal data in text replaced by its kind; n_chars follows, if there.
+
+    Nulls stay null. What counts as personal data, and edges, as in `find_spans`; every
+    span that it returns is replaced. An empty table gives an empty result.
+    """
     tagger = fit_on(docs, fit_docs)
 
     def make():
