@@ -1,14 +1,15 @@
 """Media columns: bytes stored as baseline JPEG, read back as DC-only luminance thumbnails.
 
-The reader parses markers and tables of any baseline (SOF0) file, Huffman-decodes the
-entropy-coded segments and keeps the DC coefficient of every luminance block, so a
-thumbnail has one pixel for each 8 x 8 block. The segments between restart markers of
+The reader parses markers and tables of any baseline (SOF0) file, interleaved or with a
+scan for each component, Huffman-decodes the entropy-coded segments and keeps the DC
+coefficient of every luminance block, so a thumbnail has one pixel for each 8 x 8 block. The segments between restart markers of
 all files of a batch that share their tables are decoded in step, one numpy operation
 for all of them, which is what makes this fast without compiled code.
 
 The writer stores a payload without loss: one grey block for each byte, DC quantiser 8,
 so the DC coefficient is the byte less 128 and the thumbnail's pixel is the byte. A
-restart marker follows every 24 blocks. A comment marker holds the payload's length.
+restart marker follows every 24 blocks. A comment marker holds the payload's length. Long
+payloads are cut into several files, one behind the other.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from pairweave.llm.arrow import map_rows
+from pairweave.llm.arrow import map_rows, with_columns
 
 UNIT = 576
 #: Blocks in a restart interval, and the least width in blocks.
@@ -124,28 +125,49 @@ def write(payloads: list[bytes]) -> list[bytes]:
 
 
 class Image:
-    """What the markers of a baseline file say, and where its scan's data lie."""
+    """What the markers of a baseline file say, and where the scan with its first component lies.
 
-    def __init__(self, data: bytes) -> None:
-        if data[:2] != b"\xff\xd8":
+    The file begins at ``data[start]``; ``end`` is where it stops. Tables are those in
+    force when that scan begins, and scans of other components are stepped over. Anything
+    that is no whole baseline file raises ValueError.
+    """
+
+    def __init__(self, data: bytes, start: int = 0) -> None:
+        if data[start : start + 2] != b"\xff\xd8":
             raise ValueError("no JPEG")
-        self.data, self.quant, self.huffman, self.restart, self.comment, at = data, {}, {}, 0, b"", 2
+        self.data, self.restart, self.comment = data, 0, b""
         self.components: list[tuple[int, int, int, int]] = []  # id, h, v, quantiser
+        self.mcu: tuple | None = None
+        self.quant, self.huffman = {}, {}
+        try:
+            self._read(start + 2)
+        except (IndexError, KeyError, struct.error) as error:
+            raise ValueError(f"broken markers: {error}") from None
+        if self.mcu is None:
+            raise ValueError("no scan")
+
+    def _read(self, at: int) -> None:
+        data = self.data
         while True:
             while data[at] != 0xFF or data[at + 1] in (0xFF, 0):
                 at += 1
             marker = data[at + 1]
             if marker == 0xD9:
-                raise ValueError("no scan")
+                self.end = at + 2
+                return
             if marker in (0x01, *range(0xD0, 0xD8)):
                 at += 2
                 continue
             size = struct.unpack_from(">H", data, at + 2)[0]
             body = data[at + 4 : at + 2 + size]
+            if len(body) != size - 2:
+                raise ValueError("cut short")
             at += 2 + size
             if marker == 0xC0:
                 _, self.height, self.width, n = struct.unpack_from(">BHHB", body)
                 self.components = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+                if not (self.height and self.width and n and all(1 <= h <= 4 and 1 <= v <= 4 for _, h, v, _ in self.components)):
+                    raise ValueError("no size")
             elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise ValueError("not baseline")
             elif marker == 0xDB:
@@ -157,45 +179,70 @@ class Image:
                 while body:
                     n = sum(body[1:17])
                     self.huffman[body[0]] = (bytes(body[1:17]), bytes(body[17 : 17 + n]))
+                    if len(body) < 17 + n:
+                        raise ValueError("cut short")
                     body = body[17 + n :]
             elif marker == 0xDD:
                 self.restart = struct.unpack(">H", body)[0]
             elif marker == 0xFE:
                 self.comment = bytes(body)
             elif marker == 0xDA:
-                n = body[0]
-                if n != len(self.components):
-                    raise ValueError("several scans")
-                self.tables = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(n)}
-                break
-        self.scan = at
-        single = len(self.components) == 1
-        h, v = (1, 1) if single else (max(c[1] for c in self.components), max(c[2] for c in self.components))
-        self.across, self.down = -(-self.width // (8 * h)), -(-self.height // (8 * v))
+                stop = self._scan_end(at)
+                if self.mcu is None:
+                    self._scan(body, at, stop)
+                at = stop
+
+    def _scan_end(self, at: int) -> int:
+        """Where the next marker stands that is no restart marker."""
+        while True:
+            at = self.data.find(b"\xff", at)
+            if at < 0 or at + 1 >= len(self.data):
+                raise ValueError("cut short")
+            if self.data[at + 1] == 0xFF:
+                at += 1
+            elif self.data[at + 1] == 0 or 0xD0 <= self.data[at + 1] <= 0xD7:
+                at += 2
+            else:
+                return at
+
+    def _scan(self, body: bytes, begin: int, stop: int) -> None:
+        tables = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
+        if not self.components or self.components[0][0] not in tables:
+            return  # a scan of other components
+        self.begin, self.stop, self.q = begin, stop, self.quant[self.components[0][3]]
+        hm, vm = max(c[1] for c in self.components), max(c[2] for c in self.components)
+        here = [c for c in self.components if c[0] in tables]
+        _, h, v, _ = self.components[0]
+        # the component's own size in blocks
+        self.columns, self.rows = -(-(-(-self.width * h // hm)) // 8), -(-(-(-self.height * v // vm)) // 8)
+        if len(here) == 1:  # a component alone is dealt block by block
+            self.h = self.v = 1
+            self.across, self.down = self.columns, self.rows
+        else:
+            self.h, self.v = h, v
+            self.across, self.down = -(-self.width // (8 * hm)), -(-self.height // (8 * vm))
         # blocks of one MCU: component number, DC table, AC table
         self.mcu = tuple(
-            (i, self.huffman[self.tables[c[0]][0]], self.huffman[0x10 | self.tables[c[0]][1]])
-            for i, c in enumerate(self.components) for _ in range(1 if single else c[1] * c[2])
+            (i, self.huffman[tables[c[0]][0]], self.huffman[0x10 | tables[c[0]][1]])
+            for i, c in enumerate(self.components) if c[0] in tables for _ in range(1 if len(here) == 1 else c[1] * c[2])
         )
+        self.interval = self.restart
 
     def key(self) -> tuple:
         """Files with equal keys can be decoded in step."""
-        return self.mcu, self.restart
+        return self.mcu, self.interval
 
     def segments(self) -> tuple[np.ndarray, np.ndarray]:
         """Entropy-coded bytes without stuffing and markers, and where each restart interval starts."""
-        raw = np.frombuffer(self.data, np.uint8)[self.scan :]
+        raw = np.frombuffer(self.data, np.uint8)[self.begin : self.stop]
         after = np.append(raw[1:], 0xD9)
         ff = raw == 255
-        ends = np.flatnonzero(ff & (after != 0) & ((after < 0xD0) | (after > 0xD7)))
-        if len(ends):
-            raw, after, ff = raw[: ends[0]], after[: ends[0]], ff[: ends[0]]
         marks = np.flatnonzero(ff & (after >= 0xD0) & (after <= 0xD7))
         keep = np.ones(len(raw), bool)
         keep[marks] = False
         keep[marks + 1] = False
         keep[1:] &= ~(ff[:-1] & (raw[1:] == 0))
-        kept = np.cumsum(keep)
+        kept = np.concatenate(([0], np.cumsum(keep)))
         return raw[keep], np.concatenate(([0], kept[marks]))
 
 
@@ -216,23 +263,27 @@ def _lookup(table: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _LOOKUPS[table]
 
 
-def _coefficients(images: list[Image]) -> list[np.ndarray]:
-    """DC values (MCU, blocks of the first component in it) of files with one key."""
+def _coefficients(images: list[Image]) -> list[np.ndarray | None]:
+    """DC values (MCU, blocks of the first component in it) of files with one key; None for one whose data are broken."""
     mcu, restart = images[0].key()
-    parts = [i.segments() for i in images]
-    n_mcu, starts, counts, at = [i.across * i.down for i in images], [], [], 0
-    for (data, begin), n in zip(parts, n_mcu, strict=True):
-        each = restart or n
-        k = -(-n // each)
-        if len(begin) < k:
-            raise ValueError("restart intervals are missing")
+    n_mcu, starts, counts, parts, owner, ends, at = [], [], [], [], [], [], 0
+    for n, image in enumerate(images):
+        data, begin = image.segments()
+        total = image.across * image.down
+        each = restart or total
+        k = min(-(-total // each), len(begin))
+        n_mcu.append(total)
         starts.append(begin[:k] + at)
-        counts.append(np.minimum(each, n - each * np.arange(k)))
+        ends.append(np.append(begin[1:k], len(data)) + at)
+        counts.append(np.minimum(each, total - each * np.arange(k)))
+        owner += [n] * k
+        parts.append(data)
         at += len(data)
-    buffer = np.concatenate([p[0] for p in parts] + [np.full(8, 255, np.uint8)]).astype(np.int64)
+    buffer = np.concatenate([*parts, np.full(8, 255, np.uint8)]).astype(np.int64)
     window = (buffer[:-4] << 32) | (buffer[1:-3] << 24) | (buffer[2:-2] << 16) | (buffer[3:-1] << 8) | buffer[4:]
-    position, count = np.concatenate(starts) * 8, np.concatenate(counts)
+    position, count, stop = np.concatenate(starts) * 8, np.concatenate(counts), np.concatenate(ends) * 8
     last = 8 * (len(window) - 1)
+    wrong = np.zeros(len(position), bool)
 
     def peek(p: np.ndarray, n: int = 16) -> np.ndarray:
         p = np.minimum(p, last)
@@ -242,13 +293,16 @@ def _coefficients(images: list[Image]) -> list[np.ndarray]:
     out = np.zeros((int(count.sum()), luma), np.int64)
     offset = np.concatenate(([0], np.cumsum(count)[:-1]))
     predicted = np.zeros((len(position), 1 + max(b[0] for b in mcu)), np.int64)
-    for m in range(int(count.max())):
+    for m in range(int(count.max(initial=0))):
         on = np.flatnonzero(count > m) if m >= count.min() else slice(None)
         p, slot = position[on], 0
+        bad = np.zeros(len(p), bool)
         for component, dc, ac in mcu:
             symbols, lengths = _lookup(dc)
             bits = peek(p)
-            category, p = symbols[bits], p + lengths[bits]
+            category, step = np.minimum(symbols[bits], 15), lengths[bits]
+            bad |= step == 0
+            p = p + step
             x = peek(p) >> (16 - category)
             value = np.where(category == 0, 0, np.where(x >> np.maximum(category - 1, 0), x, x - (1 << category) + 1))
             p = p + category
@@ -258,37 +312,52 @@ def _coefficients(images: list[Image]) -> list[np.ndarray]:
                 slot += 1
             symbols, lengths = _lookup(ac)
             bits = peek(p)
-            s = symbols[bits]
-            p = p + lengths[bits] + (s & 15)
+            s, step = symbols[bits], lengths[bits]
+            bad |= step == 0
+            p = p + step + (s & 15)
             k = 1 + (s >> 4) + 1
-            live = np.flatnonzero((s != 0) & (k < 64))
+            live = np.flatnonzero((s != 0) & (k < 64) & (step > 0))
             while len(live):
                 bits = peek(p[live])
-                s = symbols[bits]
-                p[live] += lengths[bits] + (s & 15)
+                s, step = symbols[bits], lengths[bits]
+                bad[live] |= step == 0
+                p[live] += step + (s & 15)
                 k[live] += (s >> 4) + 1
-                live = live[(s != 0) & (k[live] < 64)]
+                live = live[(s != 0) & (k[live] < 64) & (step > 0)]
         position[on] = p
-    cut = np.cumsum(n_mcu)[:-1]
-    return np.split(out, cut)
+        wrong[on] |= bad
+    wrong |= position > stop
+    broken = set(np.array(owner)[wrong].tolist())
+    done, at = [], 0
+    for n, each in enumerate(counts):
+        size = int(each.sum())
+        done.append(None if n in broken or size != n_mcu[n] else out[at : at + size])
+        at += size
+    return done
 
 
 def thumbnails(files: list[bytes]) -> list[tuple[Image, np.ndarray]]:
-    """For each file its markers and the luminance thumbnail, one pixel a block."""
-    images = [Image(f) for f in files]
+    """For each file its markers and the luminance thumbnail, one pixel a block; a file that can't be read raises ValueError."""
+    found = _thumbnails([Image(f) for f in files])
+    if any(x is None for x in found):
+        raise ValueError("broken data")
+    return found
+
+
+def _thumbnails(images: list[Image]) -> list[tuple[Image, np.ndarray] | None]:
     groups: dict[tuple, list[int]] = {}
     for i, image in enumerate(images):
         groups.setdefault(image.key(), []).append(i)
-    found: list = [None] * len(files)
+    found: list = [None] * len(images)
     for members in groups.values():
         for i, dc in zip(members, _coefficients([images[i] for i in members]), strict=True):
+            if dc is None:
+                continue
             image = images[i]
-            _, h, v, q = image.components[0]
-            if len(image.components) == 1:
-                h = v = 1
+            h, v = image.h, image.v
             grid = dc.reshape(image.down, image.across, v, h).transpose(0, 2, 1, 3).reshape(image.down * v, image.across * h)
-            pixels = np.clip((grid * image.quant[q] + 4) // 8 + 128, 0, 255).astype(np.uint8)
-            found[i] = image, pixels[: -(-image.height // 8), : -(-image.width // 8)]
+            pixels = np.clip((grid * image.q + 4) // 8 + 128, 0, 255).astype(np.uint8)
+            found[i] = image, pixels[: image.rows, : image.columns]
     return found
 
 
@@ -322,18 +391,64 @@ def _in_chunks(items: list, size) -> list[list]:
     return out
 
 
+def media_of(payloads: list[bytes]) -> list[bytes]:
+    """Every payload as one JPEG file, or, beyond CHUNK bytes, as files of CHUNK bytes one behind the other."""
+    parts = [p[a : a + CHUNK] for p in payloads for a in range(0, max(len(p), 1), CHUNK)]
+    files = iter([f for some in _in_chunks(parts, len) if some for f in write(some)])
+    return [b"".join(next(files) for _ in range(0, max(len(p), 1), CHUNK)) for p in payloads]
+
+
+def images_of(media: bytes) -> list[Image]:
+    """The files that stand one behind the other in a media value; bytes behind the last one are no matter."""
+    out = [Image(media)]
+    while media[out[-1].end : out[-1].end + 2] == b"\xff\xd8":
+        out.append(Image(media, out[-1].end))
+    return out
+
+
+def read_all(values: list[bytes | None]) -> list[tuple[bytes | None, str | None, str | None]]:
+    """For each media value the payload, the feature and, if it can't be read, what is wrong with it."""
+    done: list = [(None, None, "null")] * len(values)
+    sound = []
+    for i, media in enumerate(values):
+        if media is None:
+            continue
+        try:
+            sound += [(i, image) for image in images_of(media)]
+        except ValueError as error:
+            done[i] = None, None, str(error)
+    payloads: dict[int, list[bytes]] = {}
+    features: dict[int, list[str]] = {}
+    for some in _in_chunks(sound, lambda x: x[1].stop - x[1].begin):
+        for (i, _), got in zip(some, _thumbnails([image for _, image in some]), strict=True):
+            if got is None:
+                done[i] = None, None, "broken data"
+                continue
+            image, pixels = got
+            flat = pixels.tobytes()
+            n = int(image.comment[8:]) if image.comment.startswith(b"payload ") and image.comment[8:].isdigit() else len(flat)
+            payloads.setdefault(i, []).append(flat[:n])
+            features.setdefault(i, []).append(f"{image.width}x{image.height}:{pixels.shape[1]}x{pixels.shape[0]}:{thumbnail_hash(pixels)}")
+    for i, parts in payloads.items():
+        if done[i][2] != "broken data":
+            done[i] = b"".join(parts), "+".join(features[i]), None
+    return done
+
+
 def stored(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media, the text's payload as a baseline JPEG file, for every row of docs.
+    """doc_id, n_bytes and media, the text's payload as baseline JPEG, for every row of docs.
 
-    A null text counts as empty; an empty one is stored as UNIT filling bytes. Equal texts
-    give equal files. Other columns are not read.
+    A null text counts as empty; an empty one is stored as UNIT filling bytes. A payload
+    above CHUNK bytes becomes several files one behind the other, so no text is too long
+    and memory is bounded. Equal texts give equal values; repeated rows and rows with a
+    null doc_id are stored like others. An empty table gives an empty result. Other
+    columns, whatever their names, are not read.
     """
 
     def make():
         def run(texts):
             made = [payload_of(t) for t in texts]
-            files = [f for part in _in_chunks([p for p, _ in made], len) if part for f in write(part)]
-            return [[n for _, n in made], files]
+            return [[n for _, n in made], media_of([p for p, _ in made])]
 
         return run
 
@@ -341,38 +456,30 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """All columns of media and, read back from its column ``media``: payload (binary) and feature.
-
-    feature holds width, height, the thumbnail's size and its hash. The payload is the
-    thumbnail's pixels up to the length in the file's comment, all of them without one.
+    """All columns of media and, read back from its column ``media``: payload (binary), feature and error.
+
+    feature holds width, height, the thumbnail's size and its hash, of each of the files in
+    the value, joined by "+". The payload is the thumbnails' pixels, of each up to the
+    length in the file's comment, all of them without one. A value that is null or no
+    whole baseline file has a null payload and feature, and error says what is wrong; it
+    is null for all others. Columns of media with the names of new ones are replaced. An
+    empty table gives an empty result.
     """
 
     def make():
-        def run(files):
-            payloads, features = [], []
-            for part in _in_chunks(files, len):
-                for image, pixels in thumbnails(part):
-                    flat = pixels.tobytes()
-                    n = int(image.comment[8:]) if image.comment.startswith(b"payload ") else len(flat)
-                    payloads.append(flat[:n])
-                    features.append(f"{image.width}x{image.height}:{pixels.shape[1]}x{pixels.shape[0]}:{thumbnail_hash(pixels)}")
-            return [payloads, features]
-
-        return run
+        return lambda files: list(map(list, zip(*read_all(files), strict=True)))
 
-    rows = media.select(*media.columns, media["media"].alias("_media"))
-    return map_rows(rows, make, "payload binary, feature string", keep=len(media.columns), rows=256)
+    return with_columns(media, ["media"], make, "payload binary, feature string, error string", rows=256)
 
 
 def media_digests(features: DataFrame) -> DataFrame:
-    """Sizes and digests of the columns media and payload, beside doc_id, n_bytes and feature."""
+    """Sizes and digests of the columns media and payload, beside doc_id, n_bytes and feature; null for null values."""
 
     def make():
         def run(media, payloads):
-            return [
-                [len(p) for p in payloads], [hashlib.sha256(p).hexdigest() for p in payloads], [zlib.crc32(p[-32:]) for p in payloads],
-                [len(m) for m in media], [hashlib.sha256(m).hexdigest() for m in media],
-            ]
+            of = lambda f, values: [None if x is None else f(x) for x in values]
+            sha = lambda x: hashlib.sha256(x).hexdigest()
+            return [of(len, payloads), of(sha, payloads), of(lambda p: zlib.crc32(p[-32:]), payloads), of(len, media), of(sha, media)]
 
         return run
 
