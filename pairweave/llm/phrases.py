@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -160,10 +160,22 @@ def spelled(top: np.ndarray, bins: np.ndarray) -> list[str]:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal bins among those that are not empty in both rows; 1 where all are empty."""
-    used = (a != _EMPTY) | (b != _EMPTY)
-    n = used.sum(1)
-    return np.where(n > 0, ((a == b) & used).sum(1) / np.maximum(n, 1), 1.0)
+    """Share of bins that are spelled alike among those that are not empty in both rows; 1 where all are empty.
+
+    Only what the fingerprints spell counts: whether a bin is empty, and its four digits.
+    """
+    x, y = a != _EMPTY, b != _EMPTY
+    n = (x | y).sum(1)
+    same = (x & y & ((a & U64(0xFFFF)) == (b & U64(0xFFFF)))).sum(1)
+    return np.where(n > 0, same / np.maximum(n, 1), 1.0)
+
+
+def _range_of(edges: list[int], low: int, high: int) -> Column:
+    """How many of the borders edges[low:high] and of those before them are below a doc_id, by halving: as many comparisons as the list has digits in binary."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(F.col("doc_id") > F.lit(edges[mid]), _range_of(edges, mid + 1, high)).otherwise(_range_of(edges, low, mid))
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
@@ -180,7 +192,7 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     number = F.lit(0)
     if edges:
         # the number of borders at or above the id: 0 holds the largest ids; null ids join the smallest
-        number = F.when(F.col("doc_id").isNull(), len(edges)).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)), lambda b: b >= F.col("doc_id"))))
+        number = F.when(F.col("doc_id").isNull(), len(edges)).otherwise(F.lit(len(edges)) - _range_of(edges, 0, len(edges)))
     rows = docs.select("doc_id", "text", number.alias("range"))
     heads = {r["range"]: r["head"] for r in ids.withColumn("range", number).groupBy("range").agg(F.max("doc_id").alias("head")).collect()}
     # by range: its largest id, and the range whose last row needs it (the first lends to the last)
@@ -206,7 +218,9 @@ def document_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFra
     The next document is the one with the next smaller doc_id, after the smallest the
     largest; null ids come last, and rows with equal ids follow each other by a hash of
     their text. A null text counts as empty; an empty text has the fingerprint without
-    names. A single row is its own next. Other columns are not read.
+    names. Texts are parsed whole, whatever their length. A single row is its own next; an
+    empty table gives an empty result. near_edited and near_next follow from the spelled
+    fingerprints. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
