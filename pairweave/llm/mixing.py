@@ -19,10 +19,13 @@ document's training position. The result is range-sorted by position.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pairweave.plans.scratch import Scratch
+
 # Fixed values of the task: weights in the order of the sources, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT, MOST_TIMES = 150, 2
@@ -73,9 +76,12 @@ def mixed(docs: DataFrame, share_percent: int = SHARE_PERCENT, most: int = MOST_
     orders as an empty id. Rows that repeat an id are ordered by their size, and rows
     equal in both share the words of their place evenly in turn. Documents without words
     and documents that nothing is taken of have a null position and come last. An empty
-    table gives an empty result. Other columns are not read.
+    table gives an empty result. Texts are counted whole, whatever their length. Other
+    columns, whatever their names, are not read.
     """
-    placed = _placed(docs.select("doc_id", "source", word_count().alias("size")), share_percent, most, weights, seed)
+    # the texts are read once; all else goes by ids, sources and sizes
+    sized = Scratch(docs.sparkSession, "mixing").table(docs.select("doc_id", "source", word_count().alias("size")))
+    placed = _placed(sized, share_percent, most, weights, seed)
     return _in_order(placed.withColumn("position", _position("_start"))).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
@@ -131,10 +137,12 @@ def mix_documents(docs: DataFrame, share_percent: int = SHARE_PERCENT, most: int
 
     A document comes once for every whole time it is taken. The one document of a source
     at which its last reading ends comes once more with the words that are taken, joined
-    by spaces, and their length in n_chars, if docs has that column. Edges as in `mixed`;
-    rows equal in doc_id, source and size share their words evenly, rounded down.
+    by spaces, and their length in n_chars, if docs has that column. Written as Parquet,
+    the names of the files and the rows in each keep the order (`training_order`). Edges
+    as in `mixed`; rows equal in doc_id, source and size share their words evenly, rounded
+    down.
     """
-    sized = docs.select("doc_id", "source", word_count().alias("size"))
+    sized = Scratch(docs.sparkSession, "mixing").table(docs.select("doc_id", "source", word_count().alias("size")))
     name = {c: f"_pw_{c}" for c in ("doc_id", "source", "size")}
     plan = (
         _placed(sized, share_percent, most, weights, seed).groupBy("doc_id", "source", "size")
@@ -157,3 +165,18 @@ def mix_documents(docs: DataFrame, share_percent: int = SHARE_PERCENT, most: int
         n = own["n_chars"]
         out = out.withColumn(n, F.when(cut, F.length(own["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
     return out.select(*own.values()).toDF(*names)
+
+
+def training_order(mix: DataFrame) -> DataFrame:
+    """doc_id, text, file and row of the written mix; the order of file and row is the training order.
+
+    Spark packs files into tasks by size, so the order of rows that are read back says
+    nothing; names of files and places in them do. For rows that were not read from
+    Parquet, file is null and row their number in the order of partitions.
+    """
+    try:
+        out = mix.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+        out.schema  # noqa: B018
+    except AnalysisException:
+        out = mix.select("doc_id", "text", F.lit(None).cast("string").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return out
