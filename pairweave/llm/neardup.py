@@ -33,8 +33,10 @@ from pairweave.operators.graph import connected_components
 from pairweave.plans.scratch import Scratch
 
 BANDS, ROWS, SEED = 40, 6, 7
-#: Bits of the bitmap of candidate ids. Its rows (64 bits each) are the only data that is broadcast: 131,072 rows at most, whatever the input.
-BITMAP_BITS = 1 << 23
+#: Bits of the bitmap of candidate ids for each of them, and at most. Its rows (64 bits
+#: each) are the only data that is broadcast: 1,048,576 rows (12 MB) at most. More ids
+#: than the largest bitmap serves are joined with the documents instead.
+BITS_PER_ID, MOST_BITS = 8, 1 << 26
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -88,20 +90,28 @@ def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> D
     return map_rows(docs.select("doc_id", "text"), make, "n_shingles long, set_key string, bands array<long>", keep=1)
 
 
-def _bit(key: str) -> tuple:
-    h = f"pmod(xxhash64({key}), {BITMAP_BITS})"
+def _bit(key: str, bits: int) -> tuple:
+    h = f"pmod(xxhash64({key}), {bits})"
     return F.expr(f"cast(shiftright({h}, 6) as int)"), F.expr(f"shiftleft(1L, cast(pmod({h}, 64) as int))")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The shingle sets of (at least) the documents named in ids."""
-    word, bit = _bit("id")
-    bitmap = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
-    word, bit = _bit("doc_id")
-    hit = (
-        docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).withColumn("word", word)
-        .join(F.broadcast(bitmap), "word").where(F.col("mask").bitwiseAND(bit) != 0).select("doc_id", "text")
-    )
+    """The shingle sets of (at least) the documents named in the table ids.
+
+    A bitmap in proportion to their number leaves the texts where they are and lets about
+    one in eight of the other documents through; beyond its bound ids and documents meet
+    in a join. What is not asked for falls out of the joins that follow.
+    """
+    known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    need = ids.count() * BITS_PER_ID
+    if need <= MOST_BITS:
+        bits = max(1 << 12, 1 << (need - 1).bit_length())
+        word, bit = _bit("id", bits)
+        bitmap = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
+        word, bit = _bit("doc_id", bits)
+        hit = known.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("mask").bitwiseAND(bit) != 0).select("doc_id", "text")
+    else:
+        hit = known.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
 
     def make():
         return lambda texts: [[shingles(x, k).view(np.int64) for x in texts]]
@@ -119,8 +129,9 @@ def _apart_pairs(docs: DataFrame, open_: DataFrame, k: int, percent: int, scratc
     is found by it; else if it needs more than the smaller A gives, by an element of D; only
     pairs that fulfil neither are found by the pivot itself. This leaves out no link.
     """
-    ids = open_.select(F.explode(F.array("rep", "pivot")).alias("id")).distinct()
+    ids = scratch.table(open_.select(F.explode(F.array("rep", "pivot")).alias("id")).distinct())
     sets = scratch.table(_sets(docs, ids, k))
+    scratch.drop(ids)
     deltas = scratch.table(
         open_.join(sets.select(F.col("doc_id").alias("rep"), F.col("items").alias("x")), "rep")
         .join(sets.select(F.col("doc_id").alias("pivot"), F.col("items").alias("p")), "pivot")
@@ -140,12 +151,14 @@ def _apart_pairs(docs: DataFrame, open_: DataFrame, k: int, percent: int, scratc
 
     sizes = ["pivot", "rep", "part", "n", "na", "nd"]
     plus, minus = (deltas.select(*sizes, F.explode(c).alias("e")) for c in ("plus", "minus"))
-    return (
+    found = scratch.table(
         met(plus, ["pivot", "e"], by_plus)
         .union(met(minus, ["pivot", "e"], f"not ({by_plus}) and {by_minus}"))
         .union(met(deltas.select(*sizes), ["pivot"], f"not ({by_plus}) and not ({by_minus})"))
         .distinct()
     )
+    scratch.drop(deltas)
+    return found
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -154,8 +167,9 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, scratch:
     Both joins are sort-merge joins on a document id; a popular partner repeats on one
     side only, which adaptive execution splits.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = scratch.table(_sets(docs, ids, k))
+    scratch.drop(ids)
     both = (
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
         .where(F.size("x") > 0)
@@ -176,8 +190,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Nulls and edges. A null or empty text, or one without words, has no shingles and links
     with nothing. A row with a null doc_id is never linked: its component_id is null and
     it is kept. Rows that repeat an id get the class of their own text; a repeated row
-    links with its twin. An empty table gives an empty result. Other columns, whatever
-    their names, are not read.
+    links with its twin. Texts are read whole, whatever their length. An empty table gives
+    an empty result. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
@@ -199,11 +213,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sizes = named.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.expr("max_by(part, struct(n, -part))").alias("pivot"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     open_ = scratch.table(named.join(mixed, "bucket").select("rep", "pivot", "part").distinct())
-    across = _apart_pairs(docs, open_, k, percent, scratch).join(near, ["a", "b"], "left_anti")
-    more = _confirmed(docs, scratch.table(across), k, percent, scratch)
+    apart = _apart_pairs(docs, open_, k, percent, scratch)
+    across = scratch.table(apart.join(near, ["a", "b"], "left_anti"))
+    more = _confirmed(docs, across, k, percent, scratch)
     if not more.isEmpty():
-        parts = scratch.table(connected_components(links.union(more), "a", "b"))
-    scratch.drop(shared, near, links, open_)
+        first, parts = parts, scratch.table(connected_components(links.union(more), "a", "b"))
+        scratch.drop(first)
+    scratch.drop(shared, near, links, open_, apart, across, more)
 
     # a class joins its many rows by the digest; its component comes with it
     head = classes.select("set_key", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
@@ -216,9 +232,10 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     """The rows of docs which are the first of their group, each once, with all columns.
 
     Rows that repeat an id and its text are reduced to one; rows with a null id all stay,
-    and so does every other row without words.
+    and so does every other row without words. Other columns may have any names.
     """
-    d = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    ids = docs.where(F.col("doc_id").isNotNull())
-    kept = ids.join(d, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).union(docs.where(F.col("doc_id").isNull()))
+    d = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]  # by number, so no name clashes
+    rows, (i, t) = docs.toDF(*names), (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    kept = rows.where(F.col(i).isNotNull()).join(d, F.col(i) == F.col("_kept"), "left_semi")
+    return kept.dropDuplicates([i, t]).union(rows.where(F.col(i).isNull())).toDF(*docs.columns)
