@@ -97,14 +97,13 @@ def gumbel(key: str, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def _weighted(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """All columns of docs and the log importance weight of their text."""
+def _weighted(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataFrame:
+    """All columns of docs and ``weight``, the log importance weight of their text."""
 
     def make():
         return lambda texts: [[float(ratios[ngram_buckets(x)].sum()) for x in texts]]
 
-    rows = docs.select(*docs.columns, F.col("text").alias("_pw_text"))
-    return map_rows(rows, make, "_pw_weight double", keep=len(docs.columns))
+    return map_rows(docs.select(*docs.columns, docs[text]), make, "weight double", keep=len(docs.columns))
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = SEED) -> DataFrame:
@@ -113,21 +112,28 @@ def quality_weights(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     A null or empty text has weight 0 and counts as explained equally well. Rows with a
     null doc_id share one noise value and are never labelled. Repeated rows get equal
     values. Without labels every weight is 0 and every row is selected. Ties at the cut
-    go to the smaller doc_id. Other columns are not read.
+    go to the smaller doc_id. Texts are read whole, whatever their length. An empty table
+    gives an empty result. Other columns, whatever their names, are not read.
     """
     ratios = fit_on(docs, labels, fit_rows)
-    scored = _weighted(docs.select("doc_id", "text"), ratios).select("doc_id", F.col("_pw_weight").alias("log_weight"), (F.col("_pw_weight") + gumbel("doc_id", seed)).alias("perturbed"))
+    scored = _weighted(docs.select("doc_id", "text"), ratios).select("doc_id", F.col("weight").alias("log_weight"), (F.col("weight") + gumbel("doc_id", seed)).alias("perturbed"))
     scored = Scratch(docs.sparkSession, "quality").table(scored)
     k = scored.where(F.col("log_weight") >= -SLACK).count()
     return scored.withColumn("selected", cut_at(scored, "perturbed", "doc_id", k))
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = SEED) -> DataFrame:
-    """The rows of docs that resampling selects, with all columns; edges as in quality_weights."""
+    """The rows of docs that resampling selects, with all columns, whatever their names.
+
+    Edges as in `quality_weights`: what it marks as selected stays, in repeated rows too.
+    Texts are scored once for the cut and once for the rows, so that none is moved.
+    """
     ratios = fit_on(docs, labels, fit_rows)
-    noisy = F.col("_pw_weight") + gumbel("doc_id", seed)
     scratch = Scratch(docs.sparkSession, "quality")
-    scored = scratch.table(_weighted(docs.select("doc_id", "text"), ratios).select("doc_id", "_pw_weight", noisy.alias("_pw_key")))
-    cut = cut_at(scored, "_pw_key", "doc_id", scored.where(F.col("_pw_weight") >= -SLACK).count())
+    scored = scratch.table(_weighted(docs.select("doc_id", "text"), ratios).select("doc_id", "weight", (F.col("weight") + gumbel("doc_id", seed)).alias("perturbed")))
+    cut = cut_at(scored, "perturbed", "doc_id", scored.where(F.col("weight") >= -SLACK).count())
     scratch.drop(scored)
-    return _weighted(docs, ratios).withColumn("_pw_key", noisy).where(cut).drop("_pw_key", "_pw_weight")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # by number, so no name clashes
+    i, t = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = _weighted(docs.toDF(*names), ratios, t).withColumn("doc_id", F.col(i)).withColumn("perturbed", F.col("weight") + gumbel("doc_id", seed))
+    return rows.where(cut).select(*names).toDF(*docs.columns)
