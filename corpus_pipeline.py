@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairweave.llm.mixing import mix_documents
+from pairweave.llm.mixing import mix_documents, training_order
 from pairweave.llm.neardup import keep_one_of_each
 from pairweave.llm.pii import masked
 from pairweave.llm.quality import keep_selected
@@ -39,8 +39,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the sampled segmentations of every document of the mix."""
-    return encode(docs)
+    """doc_id, file and row, whose order is the training order, and the sampled segmentations of every document of the mix.
+
+    Rows repeat where the mix repeats a document; each has its own place and equal samples.
+    """
+    return encode(training_order(docs), keep=("file", "row"))
 
 
 STAGES = [
