@@ -60,6 +60,12 @@ class Scratch:
         self.paths: dict[int, str] = {}
         self.count = 0
 
+    def folder(self, name: str = "") -> str:
+        """A path below the root for files that are written by other means; removed like tables."""
+        path = f"{self.root}/{name}" if name else self.root
+        _LEFT.append((self.spark, path))
+        return path
+
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
         self.count += 1
