@@ -16,20 +16,56 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegralType
 
 from pairweave.functions.columns import compatible, dot
+from pairweave.plans.scratch import Scratch
 
 SIM_DIGITS = 10
-#: Vectors in a block of the exact search.
+#: Vectors in a block of a search.
 BLOCK = 2048
+#: Cells of an inverted file at most, and the share of them that a query looks into by default.
+MOST_CELLS, PROBE_SHARE = 4096, 0.75
 
 
-def _packed(rows: DataFrame, id_: str, vector: str, block: int, names: tuple[str, str, str]) -> DataFrame:
-    """One row for each block of about ``block`` vectors: number, ids, vectors end to end."""
-    n = max(1, -(-rows.count() // block))
-    number = F.pmod(F.xxhash64(id_), F.lit(n))
-    packed = rows.groupBy(number.alias(names[0])).agg(F.collect_list(F.struct(F.col(id_).alias("id"), F.col(vector).alias("v"))).alias("x"))
-    return packed.select(names[0], F.expr("transform(x, y -> y.id)").alias(names[1]), F.expr("flatten(transform(x, y -> y.v))").alias(names[2]))
+def _packed(rows: DataFrame, id_: str, vector: str, block: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """One row (block, ids, vs) for each block of about ``block`` vectors, vectors end to end; and the number of blocks."""
+    known = rows.where(F.col(vector).isNotNull())
+    n = max(1, -(-known.count() // block))
+    number = F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
+    packed = known.groupBy(number.alias("block")).agg(F.collect_list(F.struct(F.col(id_).alias("id"), F.col(vector).alias("v"))).alias("x"))
+    return scratch.table(packed.select("block", F.expr("transform(x, y -> y.id)").alias("ids"), F.expr("flatten(transform(x, y -> y.v))").alias("vs"))), n
+
+
+def _matrix(column: pa.Array, row: int, n: int) -> np.ndarray:
+    return np.array(column[row].values.to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
+
+
+def _nearest(met: DataFrame, k: int, kind: str, both: bool) -> DataFrame:
+    """i, j, sim, rank of the k best from pairs of blocks (qb, qi, qv, bb, bi, bv).
+
+    A task multiplies two blocks and keeps k rows for each query. With both, the pair
+    stands for its reverse too, and the product serves both directions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {n: batch.column(n) for n in ("qb", "qi", "qv", "bb", "bi", "bv")}
+            for row in range(batch.num_rows):
+                qi, bi = (np.array(column[c][row].values.to_pylist()) for c in ("qi", "bi"))
+                sims = np.round(_matrix(column["qv"], row, len(qi)) @ _matrix(column["bv"], row, len(bi)).T, SIM_DIGITS) + 0.0
+                ways = [(qi, bi, sims)] + ([(bi, qi, sims.T)] if both and column["qb"][row] != column["bb"][row] else [])
+                for i, j, x in ways:
+                    r, c = _best(j, x, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(i[r]), pa.array(j[c]), pa.array(x[r, c])], names=["i", "j", "sim"])
+
+    found = met.select("qb", "qi", "qv", "bb", "bi", "bv").mapInArrow(run, f"i {kind}, j {kind}, sim double")
+    rank = F.row_number().over(W.partitionBy("i").orderBy(F.desc("sim"), "j"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _side(packed: DataFrame, p: str) -> DataFrame:
+    return packed.select(F.col("block").alias(p + "b"), F.col("ids").alias(p + "i"), F.col("vs").alias(p + "v"))
 
 
 def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,53 +83,76 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 
 def topk_exact(queries: DataFrame, base: DataFrame, vector: str, k: int, id_: str = "item_id", block: int = BLOCK) -> DataFrame:
-    """i, j, sim: for every query the k base items of largest inner product, exactly.
+    """i, j, sim, rank: for every query the k base items of largest inner product, exactly.
 
-    Blocks of vectors meet as matrices; a task holds two blocks and keeps k rows a query
-    and block, so memory is bounded and only those rows are shuffled for the final rank.
-    Catalyst broadcasts the packed blocks of one side only below its broadcast threshold.
-    The work is the product of both sides; use `topk_cells` where that is too much.
+    Blocks of vectors meet as matrices: block numbers are dealt first, the vectors are
+    joined to them. Memory is bounded by two blocks and only k rows a query and block are
+    shuffled for the final rank. The work is the product of both sides; use `topk_cells`
+    where that is too much.
     """
-    q = _packed(queries.where(F.col(vector).isNotNull()), id_, vector, block, ("qb", "qi", "qv"))
-    b = _packed(base.where(F.col(vector).isNotNull()), id_, vector, block, ("bb", "bi", "bv"))
-    kind = queries.schema[id_].dataType.simpleString()
+    scratch = Scratch(queries.sparkSession, "search")
+    (q, _), (b, n) = _packed(queries, id_, vector, block, scratch), _packed(base, id_, vector, block, scratch)
+    dealt = _side(q, "q").withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return _nearest(dealt.join(_side(b, "b"), "bb"), k, queries.schema[id_].dataType.simpleString(), False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                qi, bi = (np.array(one.column(c)[0].values.to_pylist()) for c in ("qi", "bi"))
-                x, y = (np.array(one.column(c)[0].values.to_numpy(zero_copy_only=False), np.float64) for c in ("qv", "bv"))
-                sims = np.round(x.reshape(len(qi), -1) @ y.reshape(len(bi), -1).T, SIM_DIGITS) + 0.0
-                r, c = _best(bi, sims, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[r]), pa.array(bi[c]), pa.array(sims[r, c])], names=["i", "j", "sim"])
-
-    met = q.crossJoin(b).repartition("qb", "bb").mapInArrow(run, f"i {kind}, j {kind}, sim double")
-    rank = F.row_number().over(W.partitionBy("i").orderBy(F.desc("sim"), "j"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
+def topk_self(items: DataFrame, vector: str, k: int, id_: str = "item_id", block: int = BLOCK) -> DataFrame:
+    """i, j, sim of the k nearest others. k + 1 are searched and then the item itself is dropped, if it is among them.
 
-def topk_self(items: DataFrame, vector: str, k: int, id_: str = "item_id") -> DataFrame:
-    """i, j, sim of the k nearest others. k + 1 are searched and then the item itself is dropped, if it is among them."""
-    return topk_exact(items, items, vector, k + 1, id_).where("i <> j").select("i", "j", "sim")
+    The vectors are packed once, and every pair of blocks is multiplied once for both
+    directions.
+    """
+    packed, n = _packed(items, id_, vector, block, Scratch(items.sparkSession, "search"))
+    dealt = _side(packed, "q").withColumn("bb", F.explode(F.sequence(F.col("qb"), F.lit(n - 1))))
+    found = _nearest(dealt.join(_side(packed, "b"), "bb"), k + 1, items.schema[id_].dataType.simpleString(), True)
+    return found.where("i <> j").select("i", "j", "sim")
 
 
-def topk_cells(items: DataFrame, vector: str, k: int, cells: int, probes: int, id_: str = "item_id", seed: int = 42, fit_rows: int = 100_000) -> DataFrame:
+def topk_cells(
+    items: DataFrame, vector: str, k: int, cells: int | None = None, probes: int | None = None, id_: str = "item_id", seed: int = 42, fit_rows: int = 100_000, block: int = BLOCK
+) -> DataFrame:
     """Approximate top k by an inverted file: k-means cells, each query looks into its ``probes`` nearest.
 
-    The cells are fitted on at most fit_rows rows. The join is an equi-join on the cell;
-    centres are a fixed number and travel as literals of the plan.
+    Without numbers there are as many cells as the square root of the rows (MOST_CELLS at
+    most) and PROBE_SHARE of them are probed. The cells are fitted on at most fit_rows
+    rows; the centres travel with the function that ranks them. Within a cell blocks of
+    queries meet blocks of members as matrices, and a cell with many members has many
+    blocks, dealt over tasks, so no task holds a whole cell.
     """
-    rows = items.select(id_, vector, array_to_vector(vector).alias("features")).where(F.col(vector).isNotNull())
-    sample = rows.orderBy(F.xxhash64(id_, F.lit(seed))).limit(fit_rows)
-    centres = [list(map(float, c)) for c in KMeans(k=cells, seed=seed, maxIter=15).fit(sample).clusterCenters()]
-    table = F.array(*[F.struct((dot(F.col(vector), F.array(*map(F.lit, c))) - sum(x * x for x in c) / 2).alias("s"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
-    ranked = rows.select(F.col(id_).alias("id"), F.col(vector).alias("v"), F.slice(F.sort_array(table, asc=False), 1, probes).alias("near"))
-    base = ranked.select(F.col("id").alias("j"), F.col("v").alias("w"), F.col("near")[0]["cell"].alias("cell"))
-    query = ranked.select(F.col("id").alias("i"), "v", F.explode(F.col("near")["cell"]).alias("cell"))
-    met = query.join(base, "cell").select("i", "j", F.round(dot(F.col("v"), F.col("w")), SIM_DIGITS).alias("sim"))
-    rank = F.row_number().over(W.partitionBy("i").orderBy(F.desc("sim"), "j"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k + 1).where("i <> j").select("i", "j", "sim")
+    scratch = Scratch(items.sparkSession, "cells")
+    known = scratch.table(items.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).alias("v")))
+    n = known.count()
+    kind = items.schema[id_].dataType.simpleString()
+    if not n:
+        return known.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("sim"))
+    cells = cells or max(1, min(MOST_CELLS, round(n**0.5)))
+    probes = min(cells, probes or max(1, round(cells * PROBE_SHARE)))
+    sample = known.orderBy(F.xxhash64("id", F.lit(seed))).limit(fit_rows).select(array_to_vector("v").alias("features"))
+    centres = np.array(KMeans(k=cells, seed=seed, maxIter=15).fit(sample).clusterCenters()) if cells > 1 else np.zeros((1, len(known.first()["v"])))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = (centres * centres).sum(1) / 2
+        for batch in batches:
+            v = batch.column(1)
+            x = np.array(v.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
+            order = np.argsort(-np.round(x @ centres.T - half, SIM_DIGITS), axis=1, kind="stable")[:, :probes].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, probes), pa.int32()), pa.array(order.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), v, lists], names=["id", "v", "near"])
+
+    ranked = scratch.table(known.mapInArrow(near, f"id {kind}, v array<double>, near array<int>"))
+    sizes = {r["cell"]: r["n"] for r in ranked.groupBy(F.col("near")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
+    asked = {r["cell"]: r["n"] for r in ranked.select(F.explode("near").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = lambda of: F.element_at(F.array(*[F.lit(-(-of.get(c, 0) // block)) for c in range(cells)]), F.col("cell") + 1)
+    part = lambda of: F.pmod(F.xxhash64("id"), F.greatest(blocks(of), F.lit(1))).cast("int")
+
+    def packed(rows: DataFrame, of: dict, p: str) -> DataFrame:
+        x = rows.withColumn("part", part(of)).groupBy("cell", "part").agg(F.collect_list(F.struct("id", "v")).alias("x"))
+        return x.select("cell", F.col("part").alias(p + "b"), F.expr("transform(x, y -> y.id)").alias(p + "i"), F.expr("flatten(transform(x, y -> y.v))").alias(p + "v"))
+
+    base = packed(ranked.select("id", "v", F.col("near")[0].alias("cell")), sizes, "b")
+    query = packed(ranked.select("id", "v", F.explode("near").alias("cell")), asked, "q").withColumn("n", blocks(sizes)).where("n > 0")
+    dealt = query.withColumn("bb", F.explode(F.expr("sequence(0, n - 1)")))
+    return _nearest(dealt.join(base, ["cell", "bb"]), k + 1, kind, False).where("i <> j").select("i", "j", "sim")
 
 
 def lsh_pairs(items: DataFrame, vector: str, distance: float, id_: str = "item_id", bucket: float = 1.0, tables: int = 4, seed: int = 42) -> DataFrame:
@@ -109,7 +168,8 @@ def canonical_pairs(*neighbours: DataFrame) -> DataFrame:
     both = None
     for n in neighbours:
         both = n.select("i", "j") if both is None else both.union(n.select("i", "j"))
-    pairs = both.where("i <> j and j is not null and j <> -1")
+    padding = F.col("j") == -1 if isinstance(both.schema["j"].dataType, IntegralType) else F.lit(False)
+    pairs = both.where((F.col("i") != F.col("j")) & F.col("j").isNotNull() & ~padding)
     return pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
 
 
@@ -166,24 +226,17 @@ def resolve(ids: DataFrame, index: DataFrame, column: str, out: str) -> DataFram
 
 
 def dense_index(items: DataFrame, id_: str = "item_id") -> DataFrame:
-    """item_id and idx, its position from 0 in the order of ids, without a global sort in one task.
+    """item_id and idx, its position from 0 in the order of ids of any orderable type.
 
-    Positions are ranks within ranges of ids plus the sizes of the ranges before.
+    Ids are dealt by ranges and written, then ranked within their range; the sizes of the
+    ranges before (one row a range) are added. No task sorts all ids.
     """
     ids = items.select(F.col(id_).alias("item_id"))
-    low, n = ids.agg(F.min("item_id"), F.count(F.lit(1))).first()
-    if low is None:
-        return ids.withColumn("idx", F.lit(0).cast("long"))
-    bounds = sorted(set(ids.approxQuantile("item_id", [i / 64 for i in range(1, 64)], 0.002))) if n > 100_000 else []
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("item_id"))) if bounds else F.lit(0)
-    rows = ids.withColumn("_part", part)
-    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = [], 0
-    for p in range(len(bounds) + 1):
-        before.append(total)
-        total += sizes.get(p, 0)
+    dealt = Scratch(items.sparkSession, "index").table(ids.repartitionByRange("item_id").withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rank = F.row_number().over(W.partitionBy("_part").orderBy("item_id")) - 1
-    return rows.select("item_id", (rank + F.element_at(F.array(*map(F.lit, before)), F.col("_part") + 1)).cast("long").alias("idx"))
+    return dealt.join(before, "_part").select("item_id", (F.col("_before") + rank).cast("long").alias("idx"))
 
 
 def subset(items: DataFrame, ids: DataFrame, id_: str = "item_id") -> DataFrame:
