@@ -25,8 +25,11 @@ def components(items: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 class _Union:
+    """Disjoint sets with their sizes, named by their smallest member."""
+
     def __init__(self, nodes) -> None:
         self.up = {n: n for n in nodes}
+        self.size = dict.fromkeys(self.up, 1)
 
     def find(self, x):
         while self.up[x] != x:
@@ -37,7 +40,9 @@ class _Union:
     def join(self, a, b) -> bool:
         a, b = self.find(a), self.find(b)
         if a != b:
-            self.up[max(a, b)] = min(a, b)
+            small, large = min(a, b), max(a, b)
+            self.up[large] = small
+            self.size[small] += self.size[large]
         return a != b
 
     def parts(self) -> list[list]:
@@ -51,26 +56,19 @@ def split_by_tree(nodes: list, edges: list[tuple], max_size: int, keep: str = "m
     """Parts of at most max_size: a spanning tree loses its lightest edges, as few as suffice.
 
     keep="min" builds the tree of smallest total weight, "max"
-    the one that holds the strongest links. edges are (u, v, weight); ties by (u, v).
+    the one that holds the strongest links. edges are (u, v, weight); ties by (u, v). Tree
+    edges are put back from the strongest down until the next one would make a part too
+    large; it and all lighter ones stay out.
     """
     order = sorted(edges, key=lambda e: (e[2] if keep == "min" else -e[2], e[0], e[1]))
     forest = _Union(nodes)
-    tree = sorted([e for e in order if forest.join(e[0], e[1])], key=lambda e: (e[2], e[0], e[1]))
-
-    def cut(k: int) -> list[list]:
-        u = _Union(nodes)
-        for a, b, _ in tree[k:]:
-            u.join(a, b)
-        return u.parts()
-
-    lo, hi = max(0, (len(nodes) - 1) // max_size), len(tree)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if all(len(p) <= max_size for p in cut(mid)):
-            hi = mid
-        else:
-            lo = mid + 1
-    return cut(lo)
+    tree = [e for e in order if forest.join(e[0], e[1])]
+    parts = _Union(nodes)
+    for a, b, _ in sorted(tree, key=lambda e: (e[2], e[0], e[1]), reverse=True):
+        if parts.size[parts.find(a)] + parts.size[parts.find(b)] > max_size:
+            break
+        parts.join(a, b)
+    return parts.parts()
 
 
 def split_oversized(clusters: DataFrame, edges: DataFrame, max_size: int = MAX_SIZE, keep: str = "min") -> DataFrame:
