@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairweave.functions.columns import abs_difference, array_mean, array_std, dot, match
 from pairweave.operators.candidates import SIM_DIGITS
 
 # Names and order of the base pair features and of the group features.
-PAIR_FEATURES = (
-    "text_cosine_sim img_cosine_sim text_l2_dist img_l2_dist text_diff_mean text_diff_std text_diff_max "
-    "img_diff_mean img_diff_std img_diff_max text_prod_mean img_prod_mean combined_sim sim_diff price_ratio price_diff "
-    "dept_match color_match brand_match total_matches"
-).split()
-GROUP_FEATURES = (
-    "prob_max prob_2nd prob_3rd prob_mean prob_std prob_median prob_gap_1_2 count_above_50 count_above_70 count_above_90 "
-    "text_sim_max text_sim_mean text_sim_std price_ratio_mean price_ratio_max dept_match_count color_match_count "
-    "brand_match_count total_meta_matches n_unique_depts n_unique_colors prob_x_text_max prob_x_img_max prob_x_price_max prob_x_meta"
-).split()
+PAIR_FEATURES = [
+    "text_cosine_sim", "img_cosine_sim", "text_l2_dist", "img_l2_dist", "text_diff_mean", "text_diff_std", "text_diff_max",
+    "img_diff_mean", "img_diff_std", "img_diff_max", "text_prod_mean", "img_prod_mean", "combined_sim", "sim_diff",
+    "price_ratio", "price_diff", "dept_match", "color_match", "brand_match", "total_matches",
+]
+GROUP_FEATURES = [
+    "prob_max", "prob_2nd", "prob_3rd", "prob_mean", "prob_std", "prob_median", "prob_gap_1_2",
+    "count_above_50", "count_above_70", "count_above_90", "text_sim_max", "text_sim_mean", "text_sim_std",
+    "price_ratio_mean", "price_ratio_max", "dept_match_count", "color_match_count", "brand_match_count", "total_meta_matches",
+    "n_unique_depts", "n_unique_colors", "prob_x_text_max", "prob_x_img_max", "prob_x_price_max", "prob_x_meta",
+]
+#: Columns of projected differences, PCA_DIMS numbers each: with the base features the wide set of 84.
+PCA_DIMS, PCA_FEATURES = 32, ["text_pca_diff", "img_pca_diff"]
+WIDE_FEATURES = [*PAIR_FEATURES, *PCA_FEATURES]
 PRICE_EPSILON = 1e-5
 
 
 def with_items(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """pairs (i, j, ...) with the items' columns under the prefixes a_ and b_; pairs of missing items are dropped."""
-    cols = [c for c in ("text_emb", "img_emb", "price", "dept_id", "color_id", "brand_id", "label", "title", "description") if c in items.columns]
+    cols = [c for c in ("text_emb", "img_emb", "text_pca", "img_pca", "price", "dept_id", "color_id", "brand_id", "label", "title", "description") if c in items.columns]
     side = lambda key, p: items.select(F.col("item_id").alias(key), *[F.col(c).alias(p + c) for c in cols])
     return pairs.join(side("i", "a_"), "i").join(side("j", "b_"), "j")
 
@@ -39,7 +43,11 @@ def similarities(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def pair_features(pairs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """pairs with the 20 base features. Vectors are taken as unit vectors; a null price gives null price features."""
+    """pairs with the 20 base features. Vectors are taken as unit vectors; a null price gives null price features.
+
+    Where items have the projections text_pca and img_pca, the 64 differences follow in
+    two arrays: the wide set of 84.
+    """
     w = with_items(pairs, items)
     for m in ("text", "img"):
         a, b = F.col(f"a_{m}_emb"), F.col(f"b_{m}_emb")
@@ -56,26 +64,34 @@ def pair_features(pairs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ()
         **{f"{c}_match": match(F.col(f"a_{c}_id"), F.col(f"b_{c}_id")) for c in ("dept", "color", "brand")},
     })
     w = w.withColumn("total_matches", F.col("dept_match") + F.col("color_match") + F.col("brand_match"))
-    return w.select(*pairs.columns, *PAIR_FEATURES, *keep)
+    wide = [abs_difference(F.col(f"a_{m}_pca"), F.col(f"b_{m}_pca")).alias(f"{m}_pca_diff") for m in ("text", "img") if f"{m}_pca" in items.columns]
+    return w.select(*pairs.columns, *PAIR_FEATURES, *wide, *keep)
 
 
-def fit_pca(items: DataFrame, vector: str, dims: int = 32, fit_rows: int = 100_000):
+def fit_pca(items: DataFrame, vector: str, dims: int = PCA_DIMS, fit_rows: int = 100_000) -> PCAModel:
     """PCA of a vector column fitted on at most fit_rows rows in hash order; persist the model and use one for all."""
     rows = items.orderBy(F.xxhash64("item_id", F.lit(42))).limit(fit_rows).select(array_to_vector(vector).alias("x"))
     return PCA(k=dims, inputCol="x", outputCol="y").fit(rows)
 
 
-def project(items: DataFrame, model, vector: str, out: str) -> DataFrame:
+def explained_variance(spark: SparkSession, model: PCAModel) -> DataFrame:
+    """component (from 1), share of the variance that it explains, and the running sum of the shares."""
+    shares = [float(x) for x in model.explainedVariance.toArray()]
+    rows = [(n + 1, x, sum(shares[: n + 1])) for n, x in enumerate(shares)]
+    return spark.createDataFrame(rows, "component int, explained double, total double")
+
+
+def project(items: DataFrame, model: PCAModel, vector: str, out: str) -> DataFrame:
     """items with their projection; it is not centred, which cancels in differences."""
     done = model.transform(items.withColumn("x", array_to_vector(vector)))
     return done.withColumn(out, vector_to_array("y")).drop("x", "y")
 
 
-def pca_features(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """pairs with text_pca_diff and img_pca_diff, absolute differences of the projections text_pca and img_pca."""
-    side = lambda key, p: items.select(F.col("item_id").alias(key), F.col("text_pca").alias(p + "t"), F.col("img_pca").alias(p + "v"))
-    w = pairs.join(side("i", "a_"), "i").join(side("j", "b_"), "j")
-    return w.select(*pairs.columns, abs_difference(F.col("a_t"), F.col("b_t")).alias("text_pca_diff"), abs_difference(F.col("a_v"), F.col("b_v")).alias("img_pca_diff"))
+def with_projections(items: DataFrame, dims: int = PCA_DIMS) -> DataFrame:
+    """items with text_pca and img_pca by a PCA of each."""
+    for vector, out in (("text_emb", "text_pca"), ("img_emb", "img_pca")):
+        items = project(items, fit_pca(items, vector, dims), vector, out)
+    return items
 
 
 def group_features(groups: DataFrame, scored: DataFrame, items: DataFrame) -> DataFrame:

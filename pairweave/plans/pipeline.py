@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from pairweave.operators import candidates, clusters, features, scoring
+from pairweave.operators import candidates, clusters, evaluate, features, mining, models, scoring
+from pairweave.plans.scratch import Scratch
+
+#: What scores pairs: a column over their features, or a function that adds one of the given name.
+Scorer = Column | Callable[[DataFrame, str], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -15,6 +22,9 @@ class Settings:
     """Every switch of the grouping pipeline; thresholds fit unit-vector similarities of the data at hand."""
 
     top_k: int = 50
+    search: str = "exact"
+    cells: int | None = None
+    probes: int | None = None
     threshold: float = 0.95
     text_weight: float = 0.5
     and_sim: bool = False
@@ -30,6 +40,7 @@ class Settings:
     louvain: bool = False
     high: float = scoring.HIGH
     medium: float = scoring.MEDIUM
+    medium_least: float = scoring.MEDIUM_LEAST
     min_sim: float | None = None
     max_size: int = clusters.MAX_SIZE
 
@@ -42,38 +53,59 @@ class Settings:
         return "and_sim" if self.and_sim else "weighted"
 
 
-def candidate_pairs(items: DataFrame, top_k: int) -> DataFrame:
+def neighbours(items: DataFrame, vector: str, s: Settings) -> DataFrame:
+    """The nearest items of every item, by the search that the settings name."""
+    if s.search == "cells":
+        return candidates.topk_cells(items, vector, s.top_k, s.cells, s.probes)
+    if s.search != "exact":
+        raise ValueError(f"no search is named {s.search}")
+    return candidates.topk_self(items, vector, s.top_k)
+
+
+def candidate_pairs(items: DataFrame, s: Settings) -> DataFrame:
     """Pairs that are near by text or by image."""
-    return candidates.canonical_pairs(candidates.topk_self(items, "text_emb", top_k), candidates.topk_self(items, "img_emb", top_k))
+    return candidates.canonical_pairs(neighbours(items, "text_emb", s), neighbours(items, "img_emb", s))
+
+
+def _scored_by(pairs: DataFrame, scorer: Scorer, out: str) -> DataFrame:
+    return pairs.withColumn(out, scorer) if isinstance(scorer, Column) else scorer(pairs, out)
 
 
-def _score(s: Settings, model_score: Column) -> Column:
+def _score(s: Settings) -> Column:
     sim = F.col("combined_sim")
     t, v = F.col("text_cosine_sim"), F.col("img_cosine_sim")
     return {
         "weighted": lambda: t * s.text_weight + v * (1 - s.text_weight),
         "and_sim": lambda: F.least(t, v),
-        "model": lambda: model_score,
-        "two_band": lambda: scoring.two_band(sim, model_score, model_score, s.high, s.medium),
+        "model": lambda: F.col("_high"),
+        "two_band": lambda: scoring.two_band(sim, F.col("_high"), F.col("_medium"), s.high, s.medium, s.medium_least),
         "text_pairs": lambda: F.when(sim >= s.high, F.col("ce")).otherwise(0.0),
     }[s.scorer()]()
 
 
-def scored_pairs(items: DataFrame, s: Settings, labelled: DataFrame | None = None, model_score: Column | None = None) -> DataFrame:
+def scored_pairs(items: DataFrame, s: Settings, labelled: DataFrame | None = None, high: Scorer | None = None, medium: Scorer | None = None) -> DataFrame:
     """i, j, score after the scorer and the rewrites, in their fixed order.
 
-    The raw score is computed once; filters and rewrites are columns over it. Anchor pairs
-    join after the column rewrites and are subject to the veto only.
+    ``high`` and ``medium`` score the pairs of their band; without them the fixed logistic
+    scorer does, and without ``medium`` both bands share ``high``. A trained model scores
+    once for each band that is switched on. The raw score is computed once; filters and
+    rewrites are columns over it. Anchor pairs join after the column rewrites and are
+    subject to the veto only.
     """
     needs_text = s.text_pairs or s.ce_veto
     keep = ("a_dept_id", "b_dept_id") + (("a_title", "a_description", "b_title", "b_description") if needs_text else ())
-    pairs = features.pair_features(candidate_pairs(items, s.top_k), items, keep)
+    pairs = features.pair_features(candidate_pairs(items, s), items, keep)
     if s.min_sim is not None:
         pairs = candidates.above(pairs, "combined_sim", s.min_sim)
     if needs_text:
         text = lambda p: F.concat_ws(" ", f"{p}_title", F.substring(F.coalesce(F.col(f"{p}_description"), F.lit("")), 1, 150))
         pairs = scoring.text_pair_scores(pairs, "combined_sim", s.high, scoring.token_jaccard(text("a"), text("b")))
-    pairs = pairs.withColumn("score", _score(s, model_score if model_score is not None else scoring.logistic()))
+    first = high if high is not None else scoring.logistic()
+    if s.scorer() in ("model", "two_band"):
+        pairs = _scored_by(pairs, first, "_high")
+    if s.scorer() == "two_band":
+        pairs = _scored_by(pairs, medium, "_medium") if medium is not None else pairs.withColumn("_medium", F.col("_high"))
+    pairs = pairs.withColumn("score", _score(s))
     rewrites = [(s.dept_filter, scoring.dept_filter), (s.boost, scoring.boost), (s.rules, lambda c: scoring.override(c, s.medium, s.high))]
     for on, rewrite in rewrites:
         if on:
@@ -85,14 +117,73 @@ def scored_pairs(items: DataFrame, s: Settings, labelled: DataFrame | None = Non
     return scoring.veto(out, pairs.select("i", "j", "ce")) if s.ce_veto else out
 
 
-def grouping(items: DataFrame, s: Settings, labelled: DataFrame | None = None) -> DataFrame:
+def grouping(items: DataFrame, s: Settings, labelled: DataFrame | None = None, high: Scorer | None = None, medium: Scorer | None = None) -> DataFrame:
     """item_id, cluster_id for all items."""
-    return clusters.cluster(items, scored_pairs(items, s, labelled), s.threshold, s.max_size, s.louvain)
+    pairs = Scratch(items.sparkSession, "pairs").table(scored_pairs(items, s, labelled, high, medium))
+    return clustered(items, pairs, s, s.threshold)
+
+
+def clustered(items: DataFrame, pairs: DataFrame, s: Settings, threshold: float) -> DataFrame:
+    """item_id, cluster_id of scored pairs at a threshold."""
+    return clusters.cluster(items, pairs, threshold, s.max_size, s.louvain)
+
+
+def swept(items: DataFrame, s: Settings, thresholds: list[float], truth: DataFrame, labelled: DataFrame | None = None, high: Scorer | None = None, medium: Scorer | None = None) -> DataFrame:
+    """threshold, groups, precision, recall, f1 of the grouping at every threshold; pairs are scored once."""
+    pairs = Scratch(items.sparkSession, "pairs").table(scored_pairs(items, s, labelled, high, medium))
+    if s.louvain:
+        finish = lambda c, e, t: clusters.louvain(items, clusters.edges_at(e, t), s.max_size)
+    else:
+        finish = lambda c, e, t: clusters.split_oversized(c, clusters.edges_at(e, t), s.max_size)
+    return evaluate.sweep(items, pairs, truth, thresholds, finish)
 
 
-def scored_group_pairs(groups: DataFrame, items: DataFrame) -> DataFrame:
-    """All pairs within groups with their features and probability p."""
-    return features.pair_features(candidates.group_pairs(groups), items).withColumn("p", scoring.logistic())
+def band_models(items: DataFrame, s: Settings, high_cap: int, medium_cap: int, trees: int = 20, depth: int = 4) -> tuple[Scorer, Scorer]:
+    """Trained scorers for the high and the medium band, each from pairs mined in its band.
+
+    They read the wide features where items have projections. A band without pairs of both
+    labels keeps the fixed logistic scorer.
+    """
+    names = features.WIDE_FEATURES if "text_pca" in items.columns else features.PAIR_FEATURES
+    scratch = Scratch(items.sparkSession, "bands")
+    scored = scratch.table(features.similarities(candidate_pairs(items, s), items))
+    out = []
+    for low, top, cap, ratio in ((s.high, None, high_cap, 3), (s.medium, s.high, medium_cap, 99)):
+        rows = scratch.table(features.pair_features(mining.banded(scored, items, low, top, cap, ratio), items))
+        both = rows.select("y").distinct().count() == 2
+        out.append(models.scorer(models.fit_trees(rows, names, trees=trees, depth=depth), names) if both else scoring.logistic())
+    return out[0], out[1]
+
+
+def scored_group_pairs(groups: DataFrame, items: DataFrame, scorer: Scorer | None = None) -> DataFrame:
+    """All pairs within groups with their features and probability p, by the fixed logistic scorer unless another is given."""
+    return _scored_by(features.pair_features(candidates.group_pairs(groups), items), scorer if scorer is not None else scoring.logistic(), "p")
+
+
+def group_models(items: DataFrame, n_pos: int, n_neg: int, n_dept: int, trees: int = 20, depth: int = 4) -> tuple[Scorer, GBTClassificationModel]:
+    """A pair model and on top of it a group model, both from mined rows of labelled items.
+
+    Pairs: positives, and negatives within departments and at random, half as many of
+    each. Groups: mined ones, described by the pair model's probabilities.
+    """
+    scratch = Scratch(items.sparkSession, "groups")
+    pos = scratch.table(mining.positives(items).select("i", "j"))
+    half = max(1, pos.count() // 2)
+    negatives = mining.same_dept_negatives(items, half).unionByName(mining.random_negatives(items, half)).distinct()
+    mined = pos.withColumn("y", F.lit(1)).unionByName(negatives.withColumn("y", F.lit(0)))
+    rows = scratch.table(features.pair_features(mined, items))
+    pair = models.scorer(models.fit_trees(rows, features.PAIR_FEATURES, trees=trees, depth=depth), features.PAIR_FEATURES)
+    found = scratch.table(mining.mined_groups(items, n_pos, n_neg, n_dept))
+    groups = found.withColumn("pos", F.row_number().over(W.partitionBy("group_id").orderBy("item_id")) - 1).select("group_id", "pos", "item_id")  # five rows a group
+    known = found.select("group_id", F.col("z").alias("y")).distinct()
+    described = features.group_features(groups, scored_group_pairs(groups, items, pair), items).join(known, "group_id")
+    return pair, models.fit_trees(scratch.table(described), features.GROUP_FEATURES, trees=trees, depth=depth)
+
+
+def group_answers(groups: DataFrame, items: DataFrame, pair: Scorer, model: GBTClassificationModel, threshold: float) -> DataFrame:
+    """group_id, p, z: whether the group model finds a duplicate in a group."""
+    rows = features.group_features(groups, scored_group_pairs(groups, items, pair), items)
+    return models.predict(rows, model, features.GROUP_FEATURES).select("group_id", "p", (F.col("p") >= threshold).cast("int").alias("z"))
 
 
 def duplicates_in_groups(groups: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
@@ -103,4 +194,4 @@ def duplicates_in_groups(groups: DataFrame, items: DataFrame, threshold: float)
 
 def fixture_settings(**changes) -> Settings:
     """Settings for the driver's vectors, whose similarities are far lower than trained ones."""
-    return replace(Settings(top_k=10, threshold=0.35, high=0.35, medium=0.25), **changes)
+    return replace(Settings(threshold=0.35, high=0.35, medium=0.25), **changes)
