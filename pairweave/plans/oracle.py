@@ -5,7 +5,8 @@ from __future__ import annotations
 from pairweave.functions.columns import EURO_RATES
 from pairweave.operators.scoring import LOGISTIC, LOGISTIC_BIAS
 
-K = 10
+#: Neighbours of an item in the searches, and in mining.
+K, MINING_K = 50, 100
 _RATES = ", ".join(f"('{g}', {r}::DOUBLE)" for g, r in EURO_RATES.items())
 _GEOS = ", ".join(f"'{g}'" for g in EURO_RATES)
 _UNIT = "list_transform({0}, lambda x: x / sqrt(list_dot_product({0}, {0})))"
@@ -15,7 +16,7 @@ rates(geo, rate) AS (VALUES {_RATES}),
 cat AS (
   SELECT p_partkey, p_name AS title, p_retailprice, dense_rank() OVER (ORDER BY p_type) AS dept_code,
     dense_rank() OVER (ORDER BY split_part(p_name, ' ', 1)) AS color_code, CAST(regexp_extract(p_brand, '\d+') AS INTEGER) AS brand_code
-  FROM part WHERE p_partkey < 200),
+  FROM part),
 raw AS (
   SELECT vec_id, label, [{_GEOS}][vec_id % 13 + 1] AS geo,
     list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)) AS t, list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE)) AS v
@@ -26,7 +27,7 @@ items AS (
     CAST(CASE WHEN vec_id % 5 = 0 THEN 0 ELSE color_code END AS INTEGER) AS color_id,
     CAST(CASE WHEN vec_id % 7 = 0 THEN 0 ELSE brand_code END AS INTEGER) AS brand_id,
     {_UNIT.format("t")} AS text_emb, {_UNIT.format("v")} AS img_emb, CAST(label AS BIGINT) AS label
-  FROM raw JOIN cat ON p_partkey = vec_id % 200 LEFT JOIN documents d ON d.doc_id = vec_id % 200 JOIN rates ON rates.geo = raw.geo)"""
+  FROM raw JOIN cat ON p_partkey = vec_id % (SELECT count(*) FROM part) LEFT JOIN documents d ON d.doc_id = vec_id % (SELECT count(*) FROM documents) JOIN rates ON rates.geo = raw.geo)"""
 
 
 def near(name: str, vector: str, k: int) -> str:

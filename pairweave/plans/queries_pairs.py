@@ -16,6 +16,8 @@ from pairweave.sources import items as S
 K = O.K
 #: Stand-ins for the bands of trained encoders on the driver's vectors.
 HIGH, MEDIUM = 0.35, 0.25
+#: Euclidean distance of the LSH join: for unit vectors an inner product of 0.395.
+LSH_DISTANCE = 1.1
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -23,7 +25,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.candidate_pairs(S.items(spark, sf), K)
+    return pipeline.candidate_pairs(S.items(spark, sf), pipeline.fixture_settings())
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,12 +48,12 @@ def j1_image(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j2_topk_cells")
 def j2(spark: SparkSession, sf: str) -> DataFrame:
-    return candidates.topk_cells(S.items(spark, sf), "text_emb", K, cells=16, probes=8)
+    return candidates.topk_cells(S.items(spark, sf), "text_emb", K)
 
 
 @query("j2_lsh_pairs")
 def j2_lsh(spark: SparkSession, sf: str) -> DataFrame:
-    return candidates.lsh_pairs(S.items(spark, sf).select("item_id", "text_emb"), "text_emb", 1.1)
+    return candidates.lsh_pairs(S.items(spark, sf).select("item_id", "text_emb"), "text_emb", LSH_DISTANCE)
 
 
 @query("j3_candidate_pairs", O.statement(O.ITEMS, O.PAIRS, body="SELECT i, j FROM pairs"))
@@ -115,9 +117,8 @@ _TRUE_PAIRS = "lp AS (SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN
 
 @query("j10_pair_sets", O.statement(O.ITEMS, O.PAIRS, _TRUE_PAIRS, body="SELECT i, j, 'tp' AS kind FROM pairs SEMI JOIN lp USING (i, j) UNION ALL SELECT i, j, 'fp' FROM pairs ANTI JOIN lp USING (i, j)"))
 def j10(spark: SparkSession, sf: str) -> DataFrame:
-    p, truth = pairs(spark, sf), candidates.label_pairs(S.items(spark, sf))
-    tp = p.join(truth, ["i", "j"], "left_semi").withColumn("kind", F.lit("tp"))
-    return tp.unionByName(p.join(truth, ["i", "j"], "left_anti").withColumn("kind", F.lit("fp")))
+    rows = evaluate.marked(pairs(spark, sf), S.items(spark, sf))
+    return rows.select("i", "j", F.when(F.col("y") == 1, "tp").otherwise("fp").alias("kind"))
 
 
 @query("f_pair_features", O.statement(O.ITEMS, O.PAIRS, O.features("f", "pairs"), body=f"SELECT i, j, {O.rounded(features.PAIR_FEATURES)} FROM f"))
@@ -125,13 +126,39 @@ def pair_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(featured(spark, sf), *features.PAIR_FEATURES).drop("a_dept_id", "b_dept_id")
 
 
+def projected(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with their projections, written once."""
+    return Scratch(spark, "projected").table(features.with_projections(S.items(spark, sf)))
+
+
 @query("f85_pca_features")
 def pca_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide set of 84 features of all candidate pairs, by fitted projections."""
+    return features.pair_features(pairs(spark, sf), projected(spark, sf))
+
+
+_TURN = "list_transform(range(0, 32), lambda d: ({0}_emb[d + 1] + {0}_emb[(d + 1) % 32 + 1]) / 2)"
+_WIDE = f"""
+turned AS (SELECT item_id, {_TURN.format("text")} AS text_pca, {_TURN.format("img")} AS img_pca FROM items),
+wide AS (
+  SELECT f.*, list_transform(list_zip(a.text_pca, b.text_pca), lambda z: round(abs(z[1] - z[2]), 6)) AS text_pca_diff,
+    list_transform(list_zip(a.img_pca, b.img_pca), lambda z: round(abs(z[1] - z[2]), 6)) AS img_pca_diff
+  FROM f JOIN turned a ON a.item_id = f.i JOIN turned b ON b.item_id = f.j)"""
+
+
+@query("f84_assembly", O.statement(O.ITEMS, O.PAIRS, O.features("f", "pairs"), _WIDE, body=f"SELECT i, j, {O.rounded(features.PAIR_FEATURES)}, text_pca_diff, img_pca_diff FROM wide"))
+def wide_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide set of 84 features with a fixed projection: the mean of each number and the next."""
     items = S.items(spark, sf)
-    for vector, out in (("text_emb", "text_pca"), ("img_emb", "img_pca")):
-        items = features.project(items, features.fit_pca(items, vector, 16), vector, out)
-    near = candidates.above(scored(spark, sf), "combined", MEDIUM).select("i", "j")
-    return features.pca_features(near, items)
+    turn = lambda c: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda d: (F.get(c, d) + F.get(c, (d + 1) % 32)) / 2)
+    items = items.withColumns({"text_pca": turn(F.col("text_emb")), "img_pca": turn(F.col("img_emb"))})
+    rows = rounded(features.pair_features(pairs(spark, sf), items), *features.PAIR_FEATURES)
+    return rows.withColumns({c: F.transform(c, lambda x: F.round(x, 6)) for c in features.PCA_FEATURES})
+
+
+@query("f87_explained_variance")
+def explained(spark: SparkSession, sf: str) -> DataFrame:
+    return features.explained_variance(spark, features.fit_pca(S.items(spark, sf), "text_emb"))
 
 
 @query("c1_weighted", O.statement(O.ITEMS, O.PAIRS, body="SELECT i, j, round(text_sim * 0.7 + img_sim * 0.3, 6) AS score FROM sims"))
@@ -275,10 +302,26 @@ def grouping_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("pipeline_grouping_full")
 def grouping_full(spark: SparkSession, sf: str) -> DataFrame:
-    """Every switch of the grouping pipeline on."""
+    """Every switch of the grouping pipeline on. All items are grouped and all labelled ones are anchors; an item finds itself among them."""
     items = S.items(spark, sf)
-    s = pipeline.fixture_settings(model=True, medium_band=True, dept_filter=True, boost=True, rules=True, ce_veto=True, anchors=True, anchor_sim=0.2, threshold=0.3, louvain=True)
-    return pipeline.grouping(items.where("item_id % 2 = 1"), s, items.where("item_id % 2 = 0"))
+    s = pipeline.fixture_settings(model=True, medium_band=True, medium_least=0.3, dept_filter=True, boost=True, rules=True, ce_veto=True, anchors=True, anchor_sim=0.2, threshold=0.3, louvain=True)
+    return pipeline.grouping(items, s, items)
+
+
+@query("pipeline_grouping_models")
+def grouping_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Grouping by models trained for both bands on the wide features, over the approximate search."""
+    items = projected(spark, sf)
+    s = pipeline.fixture_settings(model=True, medium_band=True, medium_least=0.7, threshold=0.3, search="cells")
+    return pipeline.grouping(items, s, None, *pipeline.band_models(items, s, 80_000, 60_000, trees=5, depth=4))
+
+
+@query("pipeline_groups_models")
+def groups_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Duplicates in given groups by a pair model and a group model, both trained on mined rows."""
+    items = S.items(spark, sf)
+    pair, model = pipeline.group_models(items, 15_000, 45_000, 15_000, trees=5, depth=3)
+    return pipeline.group_answers(S.groups(spark, sf), items, pair, model, 0.28)
 
 
 _F1 = "SELECT tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f1"
@@ -290,7 +333,7 @@ def e1(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.pairwise_f1(found_components(spark, sf), items), "precision", "recall", "f1")
 
 
-_SWEEP = (0.3, 0.4)
+_SWEEP = (0.30, 0.35, 0.38, 0.40, 0.42, 0.45, 0.50)
 _SWEEP_SQL = O.statement(
     O.ITEMS, O.PAIRS, *[x for n, t in enumerate(_SWEEP) for x in (f"e{n} AS (SELECT i, j FROM sims WHERE combined >= {t})", O.components(f"cc{n}", f"e{n}"))],
     "every AS (" + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, item_id, cluster_id FROM cc{n}" for n, t in enumerate(_SWEEP)) + ")",
@@ -307,9 +350,8 @@ _SWEEP_SQL = O.statement(
 @query("e3_threshold_sweep", _SWEEP_SQL)
 def e3(spark: SparkSession, sf: str) -> DataFrame:
     items = S.items(spark, sf)
-    every = edges(spark, sf, min(_SWEEP))
-    make = lambda i, p, t: clusters.components(i, clusters.edges_at(p, t))
-    return rounded(evaluate.sweep(items, every, items, list(_SWEEP), make), "precision", "recall", "f1")
+    every = scored(spark, sf).select("i", "j", F.col("combined").alias("score"))
+    return rounded(evaluate.sweep(items, every, items, list(_SWEEP)), "precision", "recall", "f1")
 
 
 _LABELLED = f"""y AS (SELECT p, CAST(a.label = b.label AS INTEGER) AS y FROM (SELECT i, j, {O.LOGIT} AS p FROM f) JOIN items a ON a.item_id = i JOIN items b ON b.item_id = j)"""
@@ -350,12 +392,12 @@ def e6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e7_retrieval_recall", O.statement(O.ITEMS, O.PAIRS, _TRUE_PAIRS, body="SELECT (SELECT count(*) FROM lp SEMI JOIN pairs USING (i, j)) AS hits, count(*) AS total, round((SELECT count(*) FROM lp SEMI JOIN pairs USING (i, j)) / count(*), 6) AS recall FROM lp"))
 def e7(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate.retrieval_recall(pairs(spark, sf), candidates.label_pairs(S.items(spark, sf))), "recall")
+    return rounded(evaluate.retrieval_recall(pairs(spark, sf), S.items(spark, sf)), "recall")
 
 
 @query("e8_recall_at_floors", O.statement(O.ITEMS, O.PAIRS, _TRUE_PAIRS, body="SELECT floor, count(*) FILTER (combined >= floor) AS kept, count(*) FILTER (combined >= floor AND lp.i IS NOT NULL) AS hits, round(count(*) FILTER (combined >= floor AND lp.i IS NOT NULL) / (SELECT count(*) FROM lp), 6) AS recall FROM sims LEFT JOIN lp ON lp.i = sims.i AND lp.j = sims.j, (VALUES (0.4::DOUBLE), (0.3::DOUBLE), (0.2::DOUBLE), (0.1::DOUBLE)) v(floor) GROUP BY floor"))
 def e8(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate.recall_at_floors(scored(spark, sf), candidates.label_pairs(S.items(spark, sf)), (0.4, 0.3, 0.2, 0.1)), "recall")
+    return rounded(evaluate.recall_at_floors(scored(spark, sf), S.items(spark, sf), (0.4, 0.3, 0.2, 0.1)), "recall")
 
 
 _EDGE_LIST = (0.0, 0.1, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 1.01)
@@ -381,8 +423,12 @@ def b3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _LOGITS = """
-x AS (SELECT vec_id AS r, list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings WHERE vec_id < 64),
-lg AS (SELECT p.r, q.r AS c, list_dot_product(p.a, q.b) / 0.05 AS s FROM x p, x q)"""
+x AS (SELECT vec_id AS r, vec_id // 64 AS batch, list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings),
+lg AS (SELECT p.batch, p.r, q.r AS c, list_dot_product(p.a, q.b) / 0.05 AS s FROM x p JOIN x q ON p.batch = q.batch)"""
+
+
+def _side_loss(key: str) -> str:
+    return f"SELECT batch, avg(z - d) AS l FROM (SELECT batch, {key}, ln(sum(exp(s - 100))) + 100 AS z, max(CASE WHEN r = c THEN s END) AS d FROM lg GROUP BY batch, {key}) GROUP BY batch"
 
 
 def _logits(spark: SparkSession, sf: str) -> DataFrame:
@@ -393,11 +439,11 @@ def _logits(spark: SparkSession, sf: str) -> DataFrame:
     return left.join(right, "batch").select("batch", "r", "c", (C.dot(F.col("a"), F.col("b")) / 0.05).alias("s"))
 
 
-@query("t4_info_nce", O.statement(_LOGITS, "rows_ AS (SELECT avg(z - d) AS l FROM (SELECT r, ln(sum(exp(s - 100))) + 100 AS z, max(CASE WHEN r = c THEN s END) AS d FROM lg GROUP BY r))", "cols_ AS (SELECT avg(z - d) AS l FROM (SELECT c, ln(sum(exp(s - 100))) + 100 AS z, max(CASE WHEN r = c THEN s END) AS d FROM lg GROUP BY c))", body="SELECT round((rows_.l + cols_.l) / 2, 6) AS loss FROM rows_, cols_"))
+@query("t4_info_nce", O.statement(_LOGITS, f"rows_ AS ({_side_loss('r')})", f"cols_ AS ({_side_loss('c')})", body="SELECT round(avg((rows_.l + cols_.l) / 2), 6) AS loss FROM rows_ JOIN cols_ USING (batch)"))
 def t4(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(models.info_nce(_logits(spark, sf)), "loss")
 
 
-@query("t5_info_nce_hard", O.statement(_LOGITS, body="SELECT round(avg(z - d), 6) AS loss FROM (SELECT r, ln(sum(exp(s - 100))) + 100 AS z, max(CASE WHEN r = c THEN s END) AS d FROM lg GROUP BY r)"))
+@query("t5_info_nce_hard", O.statement(_LOGITS, f"rows_ AS ({_side_loss('r')})", body="SELECT round(avg(l), 6) AS loss FROM rows_"))
 def t5(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(models.info_nce_hard(_logits(spark, sf).withColumn("is_positive", F.col("r") == F.col("c"))), "loss")

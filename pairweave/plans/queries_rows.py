@@ -26,7 +26,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 @query("s1_csv_scan", "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
 def s1(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
-    path = Scratch(spark, "csv").root
+    path = Scratch(spark, "csv").folder()
     rows.write.option("header", True).csv(path)
     return spark.read.csv(path, header=True, schema=rows.schema)
 
@@ -46,7 +46,7 @@ def s3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s5_dictionary_json", O.statement(_PART_CODES, body="SELECT raw_id, CAST(code AS INTEGER) AS code FROM codes"))
 def s5(spark: SparkSession, sf: str) -> DataFrame:
-    path = Scratch(spark, "dictionary").root
+    path = Scratch(spark, "dictionary").folder()
     S.write_dictionary(S.dictionary(S.table(spark, sf, "part"), "p_brand"), path)
     return S.read_dictionary(spark, path)
 
@@ -54,7 +54,7 @@ def s5(spark: SparkSession, sf: str) -> DataFrame:
 @query("s7_stage_cache", "SELECT p_type, count(*) AS n FROM part GROUP BY p_type")
 def s7(spark: SparkSession, sf: str) -> DataFrame:
     build = lambda: S.table(spark, sf, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
-    root = Scratch(spark, "stages").root
+    root = Scratch(spark, "stages").folder()
     sinks.cached(spark, root, "types", {"sf": sf}, build)
     return sinks.cached(spark, root, "types", {"sf": sf}, build)
 
@@ -89,7 +89,7 @@ def s9(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s10_embedding_sink", O.statement(O.ITEMS, body="SELECT item_id, round(list_sum(text_emb), 6) AS t_sum FROM items"))
 def s10(spark: SparkSession, sf: str) -> DataFrame:
-    path = Scratch(spark, "vectors").root
+    path = Scratch(spark, "vectors").folder()
     sinks.write_embeddings(S.items(spark, sf).select("item_id", "text_emb"), path)
     return spark.read.parquet(path).select("item_id", F.round(F.aggregate("text_emb", F.lit(0.0), lambda s, x: s + x), 6).alias("t_sum"))
 
@@ -262,7 +262,6 @@ def t6(spark: SparkSession, sf: str) -> DataFrame:
     _TERMS, "idf AS (SELECT b, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf FROM terms GROUP BY b)",
     "w AS (SELECT d, b, df, n * idf AS w FROM terms JOIN idf USING (b))", "l AS (SELECT d, sqrt(sum(w * w)) AS len FROM w GROUP BY d)",
     "u AS (SELECT d, b, df, w / len AS u FROM w JOIN l USING (d))",
-    "c AS (SELECT DISTINCT x.d AS i, y.d AS j FROM u x JOIN u y ON x.b = y.b AND x.d < y.d WHERE x.df <= 20 AND y.df <= 20)",
-    body="SELECT i, j, sim FROM (SELECT i, j, round(sum(p.u * q.u), 8) AS sim FROM c JOIN u p ON p.d = i JOIN u q ON q.d = j AND q.b = p.b GROUP BY i, j) WHERE sim >= 0.5"))
+    body="SELECT i, j, sim FROM (SELECT p.d AS i, q.d AS j, round(sum(p.u * q.u), 8) AS sim FROM u p JOIN u q ON p.b = q.b AND p.d < q.d GROUP BY p.d, q.d) WHERE sim >= 0.5"))
 def b2(spark: SparkSession, sf: str) -> DataFrame:
     return models.tfidf_pairs(S.table(spark, sf, "documents"), "text", "doc_id", 0.5)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairweave.operators import candidates, features, mining, models
+from pairweave.operators import candidates, evaluate, features, mining, models
 from pairweave.plans import oracle as O
 from pairweave.plans import pipeline
 from pairweave.plans.catalog import query
-from pairweave.plans.queries_pairs import HIGH, MEDIUM, K, labelled, pairs, scored
+from pairweave.plans.queries_pairs import HIGH, MEDIUM, labelled, pairs, projected
 from pairweave.plans.scratch import Scratch
 from pairweave.sources import items as S
 
@@ -23,8 +23,18 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in names})
 
 
-_LABEL_PAIRS = "SELECT a.item_id AS i, b.item_id AS j, a.label FROM items a JOIN items b ON a.label = b.label AND a.item_id < b.item_id"
-_POS = f"pos AS (SELECT i, j, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {O.hashed('i', 'j')}, i, j) AS rn FROM ({_LABEL_PAIRS})) WHERE rn <= 3)"
+def _positives(name: str, per_label: int) -> str:
+    """per_label pairs of every label among those of its first items in hash order."""
+    return f"""
+{name}_first AS (SELECT item_id, label FROM (SELECT item_id, label, row_number() OVER (PARTITION BY label ORDER BY {O.hashed("item_id")}, item_id) AS rn FROM items WHERE label IS NOT NULL) WHERE rn <= {2 * per_label}),
+{name} AS (
+  SELECT i, j, label FROM (
+    SELECT i, j, label, row_number() OVER (PARTITION BY label ORDER BY {O.hashed("i", "j")}, i, j) AS rn FROM (
+      SELECT a.item_id AS i, b.item_id AS j, a.label FROM {name}_first a JOIN {name}_first b ON a.label = b.label AND a.item_id < b.item_id))
+  WHERE rn <= {per_label})"""
+
+
+_POS = _positives("pos", 3)
 
 
 @query("m1_positives", O.statement(O.ITEMS, _POS, body="SELECT * FROM pos"))
@@ -43,19 +53,36 @@ def _consecutive(name: str, source: str, key: str) -> str:
 {name}_m AS (
   SELECT least(a.item_id, b.item_id) AS i, greatest(a.item_id, b.item_id) AS j FROM {name}_n a JOIN {name}_n b
   ON a.k = b.k AND a.rn % 2 = 1 AND b.rn = a.rn + 1 AND a.label <> b.label),
-{name} AS (SELECT i, j FROM {name}_m ORDER BY {O.hashed("i", "j")}, i, j LIMIT 40)"""
+{name} AS (SELECT i, j FROM {name}_m ORDER BY {O.hashed("i", "j")}, i, j LIMIT (SELECT count(*) // 2 FROM pos))"""
 
 
-@query("m2_same_dept_negatives", O.statement(O.ITEMS, "d AS (SELECT * FROM items WHERE dept_id <> 0)", _consecutive("neg", "d", "dept_id"), body="SELECT * FROM neg"))
+@query("m2_same_dept_negatives", O.statement(O.ITEMS, _POS, "d AS (SELECT * FROM items WHERE dept_id <> 0)", _consecutive("neg", "d", "dept_id"), body="SELECT * FROM neg"))
 def m2(spark: SparkSession, sf: str) -> DataFrame:
     return mining.same_dept_negatives(S.items(spark, sf), half_of_positives(spark, sf))
 
 
-@query("m3_random_negatives", O.statement(O.ITEMS, f"d AS (SELECT *, CAST('0x' || substr({O.hashed('item_id', seed='cell')}, 1, 4) AS BIGINT) % 16 AS cell FROM items)", _consecutive("neg", "d", "cell"), body="SELECT * FROM neg"))
+@query("m3_random_negatives", O.statement(O.ITEMS, _POS, "d AS (SELECT *, 0 AS one FROM items WHERE label IS NOT NULL)", _consecutive("neg", "d", "one"), body="SELECT * FROM neg"))
 def m3(spark: SparkSession, sf: str) -> DataFrame:
     return mining.random_negatives(S.items(spark, sf), half_of_positives(spark, sf))
 
 
+_NEAR = O.near("tnn", "text_emb", O.MINING_K)
+_TEXT_SIMS = """,
+sims AS (
+  SELECT DISTINCT i, j, (t + v) / 2 AS combined FROM (
+    SELECT i, j, round(list_dot_product(a.text_emb, b.text_emb), 10) AS t, round(list_dot_product(a.img_emb, b.img_emb), 10) AS v
+    FROM (SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM tnn) JOIN items a ON a.item_id = i JOIN items b ON b.item_id = j))"""
+
+
+def _near(spark: SparkSession, sf: str) -> DataFrame:
+    return candidates.topk_self(S.items(spark, sf), "text_emb", O.MINING_K)
+
+
+def near_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs near by text, as mining searches them, with their similarities."""
+    return features.similarities(candidates.canonical_pairs(_near(spark, sf)), S.items(spark, sf))
+
+
 def _banded(low: float, high: float | None, cap: int, ratio: int) -> str:
     top = f" AND combined < {high}" if high is not None else ""
     return f"""
@@ -67,17 +94,14 @@ bn AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {O.hashed("i", "j")}
 _BANDED = "SELECT i, j, y FROM bp UNION ALL SELECT i, j, y FROM bn"
 
 
-@query("m4_high_band", O.statement(O.ITEMS, O.PAIRS, _banded(HIGH, None, 20, 3), body=_BANDED))
+@query("m4_high_band", O.statement(O.ITEMS, _NEAR + _TEXT_SIMS, _banded(HIGH, None, MAX_HIGH, 3), body=_BANDED))
 def m4(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.banded(scored(spark, sf), S.items(spark, sf), HIGH, None, MAX_HIGH, 3)
+    return mining.banded(near_scored(spark, sf), S.items(spark, sf), HIGH, None, MAX_HIGH, 3)
 
 
-@query("m5_medium_band", O.statement(O.ITEMS, O.PAIRS, _banded(MEDIUM, HIGH, 10, 99), body=_BANDED))
+@query("m5_medium_band", O.statement(O.ITEMS, _NEAR + _TEXT_SIMS, _banded(MEDIUM, HIGH, MAX_MEDIUM, 99), body=_BANDED))
 def m5(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.banded(scored(spark, sf), S.items(spark, sf), MEDIUM, HIGH, MAX_MEDIUM, 99)
-
-
-_NEAR = O.near("tnn", "text_emb", K)
+    return mining.banded(near_scored(spark, sf), S.items(spark, sf), MEDIUM, HIGH, MAX_MEDIUM, 99)
 
 
 def _hard(least: float | None) -> str:
@@ -92,10 +116,6 @@ h AS (
 _HARD_PAIRS = "SELECT i, j, round(max(sim), 6) AS sim FROM (SELECT least(i, j) AS i, greatest(i, j) AS j, sim FROM h) GROUP BY 1, 2"
 
 
-def _near(spark: SparkSession, sf: str) -> DataFrame:
-    return candidates.topk_self(S.items(spark, sf), "text_emb", K)
-
-
 @query("m6_hard_negatives", O.statement(O.ITEMS, _NEAR, _hard(None), body=_HARD_PAIRS))
 def m6(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mining.hard_negatives(_near(spark, sf), S.items(spark, sf)), "sim")
@@ -128,7 +148,7 @@ def m9(spark: SparkSession, sf: str) -> DataFrame:
     return mining.mined_groups(S.items(spark, sf), *MAX_GROUPS)
 
 
-@query("m10_warmup_pairs", O.statement(O.ITEMS, f"p1 AS (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {O.hashed('i', 'j')}, i, j) AS rn FROM ({_LABEL_PAIRS})) WHERE rn = 1)", body=f"SELECT i, j FROM p1 ORDER BY {O.hashed('i', 'j')}, i, j LIMIT 6"))
+@query("m10_warmup_pairs", O.statement(O.ITEMS, _positives("p1", 1), body=f"SELECT i, j FROM p1 ORDER BY {O.hashed('i', 'j')}, i, j LIMIT {MAX_WARMUP}"))
 def m10(spark: SparkSession, sf: str) -> DataFrame:
     return mining.warmup_pairs(S.items(spark, sf), MAX_WARMUP)
 
@@ -144,7 +164,8 @@ def m12(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = features.pair_features(pairs(spark, sf), S.items(spark, sf), ("a_label", "b_label"))
+    """Candidate pairs with the wide set of 84 features and whether their labels agree."""
+    rows = features.pair_features(pairs(spark, sf), projected(spark, sf), ("a_label", "b_label"))
     return Scratch(spark, "training").table(rows.withColumn("y", (F.col("a_label") == F.col("b_label")).cast("int")).drop("a_label", "b_label"))
 
 
@@ -152,22 +173,22 @@ def _training_rows(spark: SparkSession, sf: str) -> DataFrame:
 def t1(spark: SparkSession, sf: str) -> DataFrame:
     """c3 as well: a trained pair model and its probabilities."""
     rows = _training_rows(spark, sf)
-    return models.predict(rows, models.fit_trees(rows, features.PAIR_FEATURES, trees=5, depth=3), features.PAIR_FEATURES).select("i", "j", "y", "p")
+    return models.predict(rows, models.fit_trees(rows, features.WIDE_FEATURES, trees=5, depth=3), features.WIDE_FEATURES).select("i", "j", "y", "p")
 
 
 @query("t2_group_model")
 def t2(spark: SparkSession, sf: str) -> DataFrame:
     groups, items = S.groups(spark, sf), S.items(spark, sf)
     rows = features.group_features(groups, pipeline.scored_group_pairs(groups, items), items)
-    truth = groups.join(items.select("item_id", "label"), "item_id").groupBy("group_id").agg((F.countDistinct("label") < 5).cast("int").alias("y"))
+    truth = evaluate.group_truth(groups, items).withColumnRenamed("z_true", "y")
     rows = Scratch(spark, "training").table(rows.join(truth, "group_id"))
     return models.predict(rows, models.fit_trees(rows, features.GROUP_FEATURES, trees=3, depth=2), features.GROUP_FEATURES).select("group_id", "y", "p")
 
 
 @query("t3_importance")
 def t3(spark: SparkSession, sf: str) -> DataFrame:
-    model = models.fit_trees(_training_rows(spark, sf), features.PAIR_FEATURES, trees=3, depth=3)
-    return models.importance(spark, model, features.PAIR_FEATURES)
+    model = models.fit_trees(_training_rows(spark, sf), features.WIDE_FEATURES, trees=3, depth=3)
+    return models.importance(spark, model, features.WIDE_FEATURES)
 
 
 @query("s11_model_round_trip")
@@ -175,6 +196,6 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.classification import GBTClassificationModel
 
     rows = _training_rows(spark, sf)
-    path = Scratch(spark, "model").root
-    models.fit_trees(rows, features.PAIR_FEATURES, trees=2, depth=2).write().overwrite().save(path)
-    return models.predict(rows, GBTClassificationModel.load(path), features.PAIR_FEATURES).select("i", "j", "p")
+    path = Scratch(spark, "model").folder()
+    models.fit_trees(rows, features.WIDE_FEATURES, trees=2, depth=2).write().overwrite().save(path)
+    return models.predict(rows, GBTClassificationModel.load(path), features.WIDE_FEATURES).select("i", "j", "p")

@@ -88,24 +88,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p_partkey, title, raw price and codes of the 200 parts that items link to."""
-    part = table(spark, sf_dir, "part").where("p_partkey < 200").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
+    """p_partkey, title, raw price and codes of all parts. The windows see one row a type and one a first word."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
     types = part.select("p_type").distinct().select("p_type", F.row_number().over(W.orderBy("p_type")).alias("dept_code"))
     word = F.split("p_name", " ")[0]
     words = part.select(word.alias("word")).distinct().select("word", F.row_number().over(W.orderBy("word")).alias("color_code"))
     part = part.withColumn("word", word).withColumn("brand_code", first_number(F.col("p_brand")).cast("int"))
-    return part.join(F.broadcast(types), "p_type").join(F.broadcast(words), "word")
+    return part.join(types, "p_type").join(words, "word")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical item table over the driver's tables."""
-    e = table(spark, sf_dir, "embeddings").withColumn("p_partkey", F.col("vec_id") % 200)
-    docs = table(spark, sf_dir, "documents").where("doc_id < 200").select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("description"))
+    """The canonical item table over the driver's tables: each vector with a part and a document, by their numbers in turn.
+
+    Ids of parts and documents count from 0, so the number of rows, which Parquet keeps in
+    its footers, says which one comes in turn.
+    """
+    part, docs = catalogue(spark, sf_dir), table(spark, sf_dir, "documents")
+    n_part, n_docs = (table(spark, sf_dir, t).count() for t in ("part", "documents"))
+    e = table(spark, sf_dir, "embeddings").withColumn("p_partkey", F.col("vec_id") % n_part).withColumn("_doc", F.col("vec_id") % n_docs)
+    docs = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("description"))
     geo = F.element_at(F.array(*map(F.lit, EURO_RATES)), (F.col("vec_id") % 13 + 1).cast("int"))
     half = lambda start: l2_normalize(as_doubles(F.slice("embedding", start, 32)))
     known = lambda code, every: F.when(F.col("vec_id") % every == 0, 0).otherwise(F.col(code)).cast("int")
     return (
-        e.join(F.broadcast(catalogue(spark, sf_dir)), "p_partkey").join(docs, "p_partkey", "left").withColumn("geo", geo)
+        e.join(part, "p_partkey").join(docs, "_doc", "left").withColumn("geo", geo)
         .select(
             F.col("vec_id").alias("item_id"), F.col("p_name").alias("title"), "description", "geo", to_euro(F.col("p_retailprice"), F.col("geo")).alias("price"),
             known("dept_code", 11).alias("dept_id"), known("color_code", 5).alias("color_id"), known("brand_code", 7).alias("brand_id"),
