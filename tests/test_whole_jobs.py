@@ -36,7 +36,7 @@ def test_tfidf_pairs_of_common_words_only(spark):
 def test_miners_return_all_rows_below_the_reference_caps(spark, sf):
     q = {n: entry.queries()[n](spark, sf) for n in ("m2_same_dept_negatives", "m3_random_negatives", "m4_high_band", "m5_medium_band", "m10_warmup_pairs")}
     label = {r.item_id: r.label for r in S.items(spark, sf).collect()}
-    scored = [(r.combined, r.i, r.j, int(label[r.i] == label[r.j])) for r in Q.scored(spark, sf).collect()]
+    scored = [(r.combined, r.i, r.j, int(label[r.i] == label[r.j])) for r in Q.near_scored(spark, sf).collect()]
     high = {x[1:] for x in scored if x[0] >= Q.HIGH}
     medium = {x[1:] for x in scored if Q.MEDIUM <= x[0] < Q.HIGH}
     for name, band, ratio in (("m4_high_band", high, 3), ("m5_medium_band", medium, 99)):
