@@ -33,10 +33,12 @@ from pairweave.operators.graph import connected_components
 from pairweave.plans.scratch import Scratch
 
 BANDS, ROWS, SEED = 40, 6, 7
-#: Bits of the bitmap of candidate ids for each of them, and at most. Its rows (64 bits
-#: each) are the only data that is broadcast: 1,048,576 rows (12 MB) at most. More ids
+#: Bits of the bitmap of candidate ids for each of them, at least for each, and in all at
+#: most. Its rows hold 64 bits each: 1,048,576 rows (12 MB) at most are broadcast. More ids
 #: than the largest bitmap serves are joined with the documents instead.
-BITS_PER_ID, MOST_BITS = 8, 1 << 26
+BITS_PER_ID, LEAST_BITS_PER_ID, MOST_BITS = 64, 8, 1 << 26
+#: Groups that hold more than one in so many rows are broadcast: there are fewer than that.
+HOT_GROUPS = 1000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -98,14 +100,14 @@ def _bit(key: str, bits: int) -> tuple:
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """The shingle sets of (at least) the documents named in the table ids.
 
-    A bitmap in proportion to their number leaves the texts where they are and lets about
-    one in eight of the other documents through; beyond its bound ids and documents meet
-    in a join. What is not asked for falls out of the joins that follow.
+    A bitmap in proportion to their number leaves the texts where they are and lets few of
+    the other documents through (at its bound one in eight); beyond it ids and documents
+    meet in a join. What is not asked for falls out of the joins that follow.
     """
     known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    need = ids.count() * BITS_PER_ID
-    if need <= MOST_BITS:
-        bits = max(1 << 12, 1 << (need - 1).bit_length())
+    n = ids.count()
+    if n * LEAST_BITS_PER_ID <= MOST_BITS:
+        bits = min(MOST_BITS, max(1 << 12, 1 << (n * BITS_PER_ID).bit_length()))
         word, bit = _bit("id", bits)
         bitmap = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
         word, bit = _bit("doc_id", bits)
@@ -182,6 +184,18 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, scratch:
     return links
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with groups, one row a key with the number n of its rows; total: all rows.
+
+    Groups with more than a thousandth of all rows are fewer than HOT_GROUPS, so they are
+    broadcast and their rows stay where they are; the others meet in a shuffle in which no
+    key has more than that share.
+    """
+    hot = F.broadcast(groups.where(F.col("n") * HOT_GROUPS > total).drop("n"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col("n") * HOT_GROUPS <= total).drop("n"), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for every row of docs.
 
@@ -197,10 +211,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     scratch = Scratch(spark, "neardup")
     found = scratch.table(sketches(docs, k, bands, rows))
     full = found.where(F.col("n_shingles") > 0).where(F.col("doc_id").isNotNull())
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = scratch.table(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
+    n_rows, n_classes = full.count(), classes.count()
     members = classes.select("rep", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    shared = scratch.table(members.join(hubs, "bucket"))
+    hubs = members.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    shared = scratch.table(_with_groups(members, hubs, "bucket", n_classes * bands))
     near = (
         shared.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("hi").alias("b")))).alias("p"))
         .select("p.*").where("a < b").distinct()
@@ -211,8 +226,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     named = shared.select("bucket", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
     sizes = named.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.expr("max_by(part, struct(n, -part))").alias("pivot"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = scratch.table(named.join(mixed, "bucket").select("rep", "pivot", "part").distinct())
+    mixed = sizes.groupBy("bucket").agg(F.expr("max_by(part, struct(n, -part))").alias("pivot"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")).where("parts > 1").drop("parts")
+    open_ = scratch.table(_with_groups(named, mixed, "bucket", n_classes * bands).select("rep", "pivot", "part").distinct())
     apart = _apart_pairs(docs, open_, k, percent, scratch)
     across = scratch.table(apart.join(near, ["a", "b"], "left_anti"))
     more = _confirmed(docs, across, k, percent, scratch)
@@ -222,8 +237,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     scratch.drop(shared, near, links, open_, apart, across, more)
 
     # a class joins its many rows by the digest; its component comes with it
-    head = classes.select("set_key", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    linked = full.join(head, "set_key").select("doc_id", "n_shingles", "component_id")
+    head = classes.select("set_key", "rep", "n").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"), "n")
+    head = scratch.table(head)
+    scratch.drop(classes)
+    linked = _with_groups(full.select("set_key", "doc_id", "n_shingles"), head, "set_key", n_rows).select("doc_id", "n_shingles", "component_id")
     alone = found.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
