@@ -29,12 +29,13 @@ def lowest_by_hash(rows: DataFrame, by: str, per_class: int, seed: int) -> DataF
     """doc_id and class of at most per_class rows of every class, chosen by a seeded hash of the id.
 
     Only ids and classes take part. Rows whose hash is far above what a class of its size
-    needs are dropped where they are read, so the task that ranks a class gets a few times
-    per_class rows, however large the class is.
+    needs are dropped where they are read, so the task that ranks a class gets about one
+    and a half times per_class rows, however large the class is. That these are too few
+    has a chance below 1e-20.
     """
     u = F.expr(f"shiftrightunsigned(xxhash64(doc_id, {seed}), 11) / {float(1 << 53)}D")
     ids = rows.select("doc_id", by)
-    near = ids.join(class_sizes(ids, by), by).withColumn("_u", u).where(F.col("_u") <= F.lit(4.0 * per_class + 1000) / F.col("_n"))
+    near = ids.join(class_sizes(ids, by), by).withColumn("_u", u).where(F.col("_u") <= F.lit(1.5 * per_class + 200) / F.col("_n"))
     ranked = near.selectExpr("doc_id", by, f"row_number() over (partition by {by} order by _u, doc_id) as _rank")
     return ranked.where(F.col("_rank") <= per_class).select("doc_id", by)
 
