@@ -17,6 +17,7 @@ words and of scores, never a text.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -73,8 +74,8 @@ def compose(first: tuple[int, Machine], second: tuple[int, Machine]) -> tuple[in
     return n * m, arcs
 
 
-def grammar() -> tuple[int, Machine]:
-    """The composed machine; it starts in state 0 at every clause."""
+def machines() -> list[tuple[int, Machine]]:
+    """The five machines in the order in which each reads what the one before writes."""
     out = (*CLASSES, "threat", "denied")
     # a word of a weight class is an insult of that weight
     insults = machine(1, {(0, x): (0, "insult", w) for x, w in zip(INSULTS, WEIGHTS, strict=True)}, (*out, *INSULTS))
@@ -93,7 +94,12 @@ def grammar() -> tuple[int, Machine]:
     # a target beside a hit strengthens it, once on each side; state 1: target seen, 2: threat waits for one
     aim = {(0, "target"): (1, "target", 0.0), (1, "insult"): (1, "insult", 1.0), (1, "threat"): (1, "threat", 3.0), (0, "threat"): (2, "threat", 0.0), (2, "target"): (1, "target", 3.0)}
     targets = machine(3, aim, out)
-    return compose(compose(compose(compose(insults, threats), negation), reported), targets)
+    return [insults, threats, negation, reported, targets]
+
+
+def grammar() -> tuple[int, Machine]:
+    """The composed machine; it starts in state 0 at every clause."""
+    return functools.reduce(compose, machines())
 
 
 def _classes() -> dict[str, str]:
