@@ -36,12 +36,15 @@ def slices(batch: pa.RecordBatch, rows: int, most: int) -> Iterator[pa.RecordBat
         at = to
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str, keep: int = 0, rows: int = 512, raw: bool = False, most: int = SLICE_BYTES) -> DataFrame:
+def map_rows(
+    df: DataFrame, make: Callable[[], Callable[..., list]], schema: str, keep: int = 0, rows: int = 512, raw: bool = False, most: int = SLICE_BYTES, inputs: list[int] | None = None
+) -> DataFrame:
     """Columns computed from the rows of df, beside its first ``keep`` columns.
 
     ``make()`` runs once in each task and returns the function, which gets the remaining
-    columns of up to ``rows`` rows as Python lists and returns the lists of the new
-    columns, as lists or Arrow arrays. With ``raw`` it gets Arrow arrays. Slices hold at
+    columns (or those with the numbers ``inputs``) of up to ``rows`` rows as Python lists
+    and returns the lists of the new columns, as lists or Arrow arrays. With ``raw`` it
+    gets Arrow arrays. Slices hold at
     most ``most`` bytes of text or binary values (or one row), which bounds the memory of
     a task whatever the batch size of the session and the length of the texts. ``schema``
     names the new columns.
@@ -50,12 +53,13 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str
     new = _parse_datatype_string(schema)
     full = StructType(kept.fields + new.fields)
     shape = to_arrow_schema(full)
+    read = inputs if inputs is not None else list(range(keep, len(df.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             for part in slices(batch, rows, most):
-                found = f(*(part.column(i) if raw else part.column(i).to_pylist() for i in range(keep, part.num_columns)))
+                found = f(*(part.column(i) if raw else part.column(i).to_pylist() for i in read))
                 arrays = [part.column(i).cast(shape.field(i).type) for i in range(keep)]
                 arrays += [x.cast(shape.field(keep + i).type) if isinstance(x, pa.Array) else pa.array(x, shape.field(keep + i).type) for i, x in enumerate(found)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=shape)
@@ -71,6 +75,5 @@ def with_columns(df: DataFrame, inputs: list[str], make: Callable[[], Callable[.
     """
     names, new = df.columns, _parse_datatype_string(schema).names
     by_number = df.toDF(*[f"c{i}" for i in range(len(names))])
-    rows = by_number.select(*by_number.columns, *[by_number[f"c{names.index(c)}"].alias(f"i{n}") for n, c in enumerate(inputs)])
-    done = map_rows(rows, make, schema, keep=len(names), **how)
+    done = map_rows(by_number, make, schema, keep=len(names), inputs=[names.index(c) for c in inputs], **how)
     return done.select(*[done[f"c{i}"].alias(c) for i, c in enumerate(names) if c not in new], *new)

@@ -103,7 +103,7 @@ def _weighted(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataFr
     def make():
         return lambda texts: [[float(ratios[ngram_buckets(x)].sum()) for x in texts]]
 
-    return map_rows(docs.select(*docs.columns, docs[text]), make, "weight double", keep=len(docs.columns))
+    return map_rows(docs, make, "weight double", keep=len(docs.columns), inputs=[docs.columns.index(text)])
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = SEED) -> DataFrame:
