@@ -225,18 +225,22 @@ def resolve(ids: DataFrame, index: DataFrame, column: str, out: str) -> DataFram
     return ids.join(index.select(F.col("item_id").alias(column), F.col("idx").alias(out)), column, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
 
-def dense_index(items: DataFrame, id_: str = "item_id") -> DataFrame:
-    """item_id and idx, its position from 0 in the order of ids of any orderable type.
+def range_ranked(rows: DataFrame, out: str, *keys: str) -> DataFrame:
+    """rows with their position from 0 in the order of the keys.
 
-    Ids are dealt by ranges and written, then ranked within their range; the sizes of the
-    ranges before (one row a range) are added. No task sorts all ids.
+    Rows are dealt by ranges of the keys and written, then ranked within their range; the
+    sizes of the ranges before (one row a range) are added. No task sorts all rows.
     """
-    ids = items.select(F.col(id_).alias("item_id"))
-    dealt = Scratch(items.sparkSession, "index").table(ids.repartitionByRange("item_id").withColumn("_part", F.spark_partition_id()))
+    dealt = Scratch(rows.sparkSession, "ranks").table(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(W.partitionBy("_part").orderBy("item_id")) - 1
-    return dealt.join(before, "_part").select("item_id", (F.col("_before") + rank).cast("long").alias("idx"))
+    rank = F.row_number().over(W.partitionBy("_part").orderBy(*keys)) - 1
+    return dealt.join(before, "_part").withColumn(out, (F.col("_before") + rank).cast("long")).select(*rows.columns, out)
+
+
+def dense_index(items: DataFrame, id_: str = "item_id") -> DataFrame:
+    """item_id and idx, its position from 0 in the order of ids of any orderable type."""
+    return range_ranked(items.select(F.col(id_).alias("item_id")), "idx", "item_id")
 
 
 def subset(items: DataFrame, ids: DataFrame, id_: str = "item_id") -> DataFrame:

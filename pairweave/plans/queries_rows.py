@@ -55,8 +55,8 @@ def s5(spark: SparkSession, sf: str) -> DataFrame:
 def s7(spark: SparkSession, sf: str) -> DataFrame:
     build = lambda: S.table(spark, sf, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
     root = Scratch(spark, "stages").folder()
-    sinks.cached(spark, root, "types", {"sf": sf}, build)
-    return sinks.cached(spark, root, "types", {"sf": sf}, build)
+    sinks.cached(spark, root, "types", {"sf": sf}, build, (f"{sf}/part.parquet",))
+    return sinks.cached(spark, root, "types", {"sf": sf}, build, (f"{sf}/part.parquet",))
 
 
 _LABEL_CLUSTERS = "SELECT item_id, min(item_id) OVER (PARTITION BY label, item_id % 7) AS cluster_id FROM items"

@@ -37,13 +37,24 @@ def write_embeddings(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").parquet(path)
 
 
-def cached(spark: SparkSession, root: str, stage: str, parameters: dict, build: Callable[[], DataFrame]) -> DataFrame:
-    """A stage's table, built once for each set of parameters and read back after that.
+def file_marks(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, length and time of change of every file below a path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files, out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
 
-    The folder is named by the stage and a digest of the parameters; a table without its
-    _SUCCESS mark is built anew.
+
+def cached(spark: SparkSession, root: str, stage: str, parameters: dict, build: Callable[[], DataFrame], inputs: tuple[str, ...] = ()) -> DataFrame:
+    """A stage's table, built once for each set of parameters and state of its inputs, and read back after that.
+
+    The folder is named by the stage and a digest of the parameters and of the files below
+    the input paths; a table without its _SUCCESS mark is built anew.
     """
-    tag = hashlib.md5(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    state = [parameters, [file_marks(spark, p) for p in inputs]]
+    tag = hashlib.md5(json.dumps(state, sort_keys=True, default=str).encode()).hexdigest()[:16]
     path = f"{root.rstrip('/')}/{stage}-{tag}"
     jvm = spark.sparkContext._jvm
     mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

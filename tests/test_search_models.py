@@ -17,6 +17,7 @@ from pairweave.plans import oracle as O
 from pairweave.plans import pipeline, scratch
 from pairweave.plans.queries_pairs import LSH_DISTANCE
 from pairweave.sources import items as S
+from pairweave.sources import sinks
 
 
 def rows(df):
@@ -127,6 +128,16 @@ def test_split_cuts_as_few_as_suffice(keep):
         assert sorted(clusters.split_by_tree(list(range(n)), edges, most, keep)) == fewest_cuts(range(n), edges, most, keep)
 
 
+def test_giant_components_are_split_alike(spark):
+    rng = random.Random(7)
+    edges = [(*sorted(rng.sample(range(14), 2)), round(rng.random(), 1)) for _ in range(20)] + [(20 + i, 21 + i, 0.5) for i in range(8)]
+    df = scratch.Scratch(spark, "test").table(spark.createDataFrame(edges, "i long, j long, score double").coalesce(1))
+    found = scratch.Scratch(spark, "test").table(clusters.components(spark.range(40).withColumnRenamed("id", "item_id"), df))
+    assert rows(clusters.split_oversized(found, df, 4, one_task=6)) == rows(clusters.split_oversized(found, df, 4))
+    tree = {(r.i, r.j) for r in clusters.spanning_tree(df, "max").collect()}
+    assert len(tree) == 40 - found.select("cluster_id").distinct().count()
+
+
 def test_auc_of_crowded_scores(spark):
     rng = random.Random(2)
     data = [(rng.random() * 1e-9 if rng.random() < 0.95 else rng.random(), int(rng.random() < 0.3)) for _ in range(600)] + [(0.0, 1)] * 20 + [(0.0, 0)] * 30
@@ -149,13 +160,13 @@ def test_sweep_equals_clustering_anew(spark, sf):
     items = S.items(spark, sf)
     rng = random.Random(5)
     edges = spark.createDataFrame([(*sorted(rng.sample(range(500), 2)), rng.random()) for _ in range(700)], "i long, j long, score double")
-    at = [0.9, 0.3, 0.6]
+    at = [0.9, 0.5]
     got = {r.threshold: (r.groups, r.f1) for r in evaluate.sweep(items, edges, items, at).collect()}
     for t in at:
         c = clusters.components(items, clusters.edges_at(edges, t))
         assert got[t] == (c.select("cluster_id").distinct().count(), pytest.approx(evaluate.pairwise_f1(c, items).first().f1))
     split = lambda c, e, t: clusters.split_oversized(c, clusters.edges_at(e, t), 5)
-    assert {r.threshold for r in evaluate.sweep(items, edges, items, at, split).collect()} == set(at)
+    assert {r.threshold for r in evaluate.sweep(items, edges, items, [0.9], split).collect()} == {0.9}
 
 
 # models
@@ -289,3 +300,13 @@ def test_encoder_hook(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "abc")], "item_id long, text string")
     got = models.encode_items(df, "text", lambda s: s.map(lambda t: [float(len(t)), 1.0])).collect()
     assert sorted((r.item_id, r.embedding) for r in got) == [(1, [2.0, 1.0]), (2, [3.0, 1.0])]
+
+
+def test_a_stage_is_built_anew_when_its_input_changes(spark, tmp_path):
+    path, calls = f"{tmp_path}/in", []
+    build = lambda: calls.append(1) or spark.read.parquet(path)
+    for n in (3, 4):
+        spark.range(n).write.mode("overwrite").parquet(path)
+        for _ in range(2):
+            assert sinks.cached(spark, f"{tmp_path}/s", "x", {}, build, (path,)).count() == n
+    assert len(calls) == 2
