@@ -130,12 +130,12 @@ def test_split_cuts_as_few_as_suffice(keep):
 
 def test_giant_components_are_split_alike(spark):
     rng = random.Random(7)
-    edges = [(*sorted(rng.sample(range(14), 2)), round(rng.random(), 1)) for _ in range(20)] + [(20 + i, 21 + i, 0.5) for i in range(8)]
+    edges = [(*sorted(rng.sample(range(8), 2)), round(rng.random(), 1)) for _ in range(11)] + [(20 + i, 21 + i, 0.5) for i in range(5)]
     df = scratch.Scratch(spark, "test").table(spark.createDataFrame(edges, "i long, j long, score double").coalesce(1))
-    found = scratch.Scratch(spark, "test").table(clusters.components(spark.range(40).withColumnRenamed("id", "item_id"), df))
-    assert rows(clusters.split_oversized(found, df, 4, one_task=6)) == rows(clusters.split_oversized(found, df, 4))
+    found = scratch.Scratch(spark, "test").table(clusters.components(spark.range(30).withColumnRenamed("id", "item_id"), df))
+    assert rows(clusters.split_oversized(found, df, 3, one_task=4)) == rows(clusters.split_oversized(found, df, 3))
     tree = {(r.i, r.j) for r in clusters.spanning_tree(df, "max").collect()}
-    assert len(tree) == 40 - found.select("cluster_id").distinct().count()
+    assert len(tree) == 30 - found.select("cluster_id").distinct().count()
 
 
 def test_auc_of_crowded_scores(spark):
@@ -160,7 +160,7 @@ def test_sweep_equals_clustering_anew(spark, sf):
     items = S.items(spark, sf)
     rng = random.Random(5)
     edges = spark.createDataFrame([(*sorted(rng.sample(range(500), 2)), rng.random()) for _ in range(700)], "i long, j long, score double")
-    at = [0.9, 0.5]
+    at = [0.9, 0.7]
     got = {r.threshold: (r.groups, r.f1) for r in evaluate.sweep(items, edges, items, at).collect()}
     for t in at:
         c = clusters.components(items, clusters.edges_at(edges, t))
@@ -225,14 +225,18 @@ def test_bands_are_scored_by_their_models(spark, sf):
         pipeline.candidate_pairs(items, pipeline.fixture_settings(search="other"))
 
 
-@pytest.mark.parametrize("name", ["pipeline_grouping_models", "pipeline_grouping_full"])
-def test_model_pipelines_partition_all_items(spark, sf, name):
-    got = entry.queries()[name](spark, sf)
+def test_model_pipelines_partition_all_items(spark, sf, wide):
+    items = wide[0].where("item_id < 150")
+    s = pipeline.fixture_settings(top_k=10, model=True, medium_band=True, medium_least=0.3, threshold=0.3, high=0.3, medium=0.2)
+    got = pipeline.grouping(items, s, None, *pipeline.band_models(items, s, 100, 100, trees=2, depth=2))
+    assert sorted(r.item_id for r in got.collect()) == list(range(150))
+    got = entry.queries()["pipeline_grouping_full"](spark, sf)
     assert sorted(r.item_id for r in got.collect()) == sorted(r.item_id for r in S.items(spark, sf).select("item_id").collect())
 
 
 def test_group_models_answer_all_groups(spark, sf):
-    got = entry.queries()["pipeline_groups_models"](spark, sf).collect()
+    items = S.items(spark, sf)
+    got = pipeline.group_answers(S.groups(spark, sf), items, *pipeline.group_models(items, 200, 200, 100, trees=2, depth=2), 0.28).collect()
     assert sorted(r.group_id for r in got) == sorted({r.group_id for r in S.groups(spark, sf).collect()})
     assert all(r.z == int(r.p >= 0.28) for r in got)
 
