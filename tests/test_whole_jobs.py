@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import __spark_entry__ as entry
-from pairweave.operators import mining, models
+from pairweave.operators import candidates, mining, models
 from pairweave.plans import queries_training as Q
 from pairweave.sources import items as S
 
@@ -67,3 +69,38 @@ def test_losses_average_over_all_batches(spark, sf):
         both.append((loss(s) + loss(list(zip(*s)))) / 2)
     for name, want in (("t4_info_nce", both), ("t5_info_nce_hard", hard)):
         assert abs(entry.queries()[name](spark, sf).first().loss - sum(want) / len(want)) < 1e-5
+
+
+def shuffled(spark, df):
+    """Rows of df and the bytes that its plan wrote to shuffles."""
+
+    def so_far():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        time.sleep(0.3)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = so_far()
+    rows = df().collect()
+    return rows, so_far() - before
+
+
+def unit_vectors(spark, n, dims, seed=5):
+    rng = random.Random(seed)
+    data = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(n)]
+    data = [(i, [x / math.sqrt(sum(y * y for y in v)) for x in v]) for i, v in enumerate(data)]
+    return data, spark.createDataFrame(data, "item_id long, v array<double>")
+
+
+def test_search_by_cells_shuffles_no_copies(spark):
+    _, df = unit_vectors(spark, 3000, 32)
+    got, size = shuffled(spark, lambda: candidates.topk_cells(df, "v", 20, cells=50, probes=40, block=256))
+    assert len(got) == len({(r.i, r.j) for r in got}) == 3000 * 20
+    assert size < 10 * 3000 * 32 * 8  # fitting the cells included; with every vector once a cell it was 51 times the input
+
+
+def test_search_by_cells_in_several_shares(spark, monkeypatch):
+    _, df = unit_vectors(spark, 400, 8)
+    rows = lambda: sorted(map(tuple, candidates.topk_cells(df, "v", 5, cells=9, probes=4, block=32).collect()))
+    whole = rows()
+    monkeypatch.setattr(candidates, "SHARE", 400 * 8 * 8 // 3)
+    assert rows() == whole
