@@ -7,6 +7,10 @@ import re
 import time
 from collections import Counter
 
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from pairweave.operators import candidates, mining, models
 from pairweave.plans import queries_training as Q
@@ -104,3 +108,17 @@ def test_search_by_cells_in_several_shares(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(candidates, "SHARE", 400 * 8 * 8 // 3)
     assert rows() == whole
+
+
+def test_lsh_pairs_shuffle_no_pairs(spark):
+    """Every pair that shares a bucket in any of the tables, from blocks, without shuffling candidates with their vectors."""
+    data, df = unit_vectors(spark, 700, 8)
+    df = df.union(spark.createDataFrame([(1000 + i, data[0][1]) for i in range(40)] + [(2000, None)], df.schema)).persist()
+    x = df.where("v is not null").select("item_id", array_to_vector("v").alias("x"))
+    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=1.0, numHashTables=4, seed=42).fit(x)
+    want = model.approxSimilarityJoin(x, x, 0.8, "d").where("datasetA.item_id < datasetB.item_id")
+    want = {(r.i, r.j) for r in want.select(F.col("datasetA.item_id").alias("i"), F.col("datasetB.item_id").alias("j")).collect()}
+    for block in (64, 8192):
+        got, size = shuffled(spark, lambda: candidates.lsh_pairs(df, "v", 0.8, block=block))  # noqa: B023
+        assert len(got) == len({(r.i, r.j) for r in got}) and {(r.i, r.j) for r in got} == want
+    assert size < 20 * 740 * 8 * 8
