@@ -122,3 +122,19 @@ def test_lsh_pairs_shuffle_no_pairs(spark):
         got, size = shuffled(spark, lambda: candidates.lsh_pairs(df, "v", 0.8, block=block))  # noqa: B023
         assert len(got) == len({(r.i, r.j) for r in got}) and {(r.i, r.j) for r in got} == want
     assert size < 20 * 740 * 8 * 8
+
+
+def test_tfidf_pairs_shuffle_no_pairs(spark, monkeypatch):
+    """Pairs, those of copies too, come out of the blocks that find them."""
+    texts = {d: "the cat sat on a mat " * 4 + f"w{d % 300}" for d in range(900)} | {900 + d: f"w{d} x{d}" for d in range(50)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4).persist()
+    want = tfidf_brute(texts, 0.5)
+    monkeypatch.setattr(models, "_PAIRS", 1000, raising=False)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        got, size = shuffled(spark, lambda: models.tfidf_pairs(docs, "text", "doc_id", 0.5, block=128))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(got) == len({(r.i, r.j) for r in got}) and {(r.i, r.j) for r in got} == set(want)
+    assert len(got) > 300_000 and size < len(got)
