@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from pairweave.operators import candidates, mining, models
+from pairweave.operators import candidates, features, mining, models
 from pairweave.plans import queries_training as Q
 from pairweave.sources import items as S
 
@@ -138,3 +138,15 @@ def test_tfidf_pairs_shuffle_no_pairs(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert len(got) == len({(r.i, r.j) for r in got}) and {(r.i, r.j) for r in got} == set(want)
     assert len(got) > 300_000 and size < len(got)
+
+
+def test_pair_features_by_block_shuffle_no_vectors(spark, sf, monkeypatch):
+    """The same rows as by joins, where pairs are many more than items."""
+    items = S.items(spark, sf).persist()
+    pairs = items.select(F.col("item_id").alias("i")).crossJoin(items.select(F.col("item_id").alias("j"))).where("i < j and j < i + 100").persist()
+    pairs = pairs.union(spark.createDataFrame([(0, 10**6), (10**6, 0)], pairs.schema))
+    monkeypatch.setattr(features, "BLOCK", 130)
+    want = features.pair_features(pairs, items, ("a_label",)).collect()
+    got, size = shuffled(spark, lambda: features.pair_features(pairs, items, ("a_label",), by_block=True))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 40_000
+    assert size < 60 * len(got)  # a pair's vectors are 512 bytes a side
