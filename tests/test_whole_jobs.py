@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pairweave.operators import candidates, features, mining, models
+from pairweave.plans import pipeline
 from pairweave.plans import queries_training as Q
 from pairweave.sources import items as S
 
@@ -150,3 +151,27 @@ def test_pair_features_by_block_shuffle_no_vectors(spark, sf, monkeypatch):
     got, size = shuffled(spark, lambda: features.pair_features(pairs, items, ("a_label",), by_block=True))
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 40_000
     assert size < 60 * len(got)  # a pair's vectors are 512 bytes a side
+
+
+def test_vectors_are_compared_where_their_blocks_meet(spark, sf, monkeypatch):
+    """The wide features by blocks are those by joins, of null vectors too, and no vector leaves the function over blocks."""
+    known = S.items(spark, sf).where("item_id < 150")
+    turned = lambda c: F.transform(F.slice(c, 1, 5), lambda x: x * 3 - 1)
+    items = known.withColumn("text_emb", F.when(F.col("item_id") != 7, F.col("text_emb"))).withColumn("img_pca", F.when(F.col("item_id") != 8, turned("img_emb")))
+    items = items.withColumn("text_pca", turned("text_emb")).persist()
+    pairs = items.select(F.col("item_id").alias("i")).crossJoin(items.select(F.col("item_id").alias("j"))).where("i < j").withColumn("more", F.lit("x")).persist()
+    monkeypatch.setattr(features, "BLOCK", 40)
+    rows = lambda df: sorted((tuple(map(repr, r)) for r in df.collect()))
+    want = features.pair_features(pairs, items, ("a_label",))
+    assert rows(features.pair_features(pairs, items, ("a_label",), by_block=True)) == rows(want) and want.count() == 150 * 149 // 2
+    assert rows(features.similarities(pairs, items, True)) == rows(features.similarities(pairs, items))
+    out = features.with_items_by_block(pairs, items)
+    assert not {p + c for p in ("a_", "b_") for c in ("text_emb", "img_emb", "text_pca", "img_pca")} & set(out.columns)
+
+
+def test_models_are_trained_and_used_on_one_search(spark, sf, monkeypatch):
+    calls = []
+    search = pipeline.candidate_pairs
+    monkeypatch.setattr(pipeline, "candidate_pairs", lambda *a: calls.append(a) or search(*a))
+    rows = entry.queries()["pipeline_grouping_models"](spark, sf).collect()
+    assert len(calls) == 1 and sorted(r.item_id for r in rows) == sorted(r.item_id for r in S.items(spark, sf).collect())
